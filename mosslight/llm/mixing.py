@@ -140,5 +140,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), sizes(docs, text_col).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     stored = stage(rows, "rows")
     taken = mix(stored.drop("row")).where("copies > 0").select("row_id", "copies")
-    repeated = stored.select("row_id", "row").join(taken, "row_id").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    repeated = stored.select("row_id", "row").join(taken.hint("shuffle_hash"), "row_id").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return repeated.select("row.*")

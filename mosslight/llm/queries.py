@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosslight.llm import license_scan, line_dedup, mixing, packing, quality_rules
+from mosslight.llm import license_scan, line_dedup, mixing, packing, quality_rules, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("host").alias("source"), "host_docs", "host_failures", F.round("host_rate", 6).alias("host_rate"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(_read(spark, sf_dir, "documents"))
     return found.withColumn("score", F.round("score", 6))
@@ -38,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_simhash": op2_simhash,
     "op6_license_scans": op6_license_scans,
     "op7_mixing": op7_mixing,
     "op9_line_dedup": op9_line_dedup,
