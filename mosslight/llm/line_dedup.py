@@ -60,14 +60,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are told apart by id and text, which holds when a lost executor makes Spark deal
     the scan anew; rows equal in both are one document and lose the same lines. Only hashes
-    are staged, and texts are shuffled once at most.
+    are staged, and texts are shuffled once. That join is fixed: a broadcast that holds while
+    few lines are covered would give way to a shuffle of all texts as the corpus grows.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = stage(windows(rows, "id", "text"), "windows")
     covered = stage(covered_lines(found).withColumnsRenamed({"id": "covered_id", "key": "covered_key"}), "covered")
 
     keyed = rows.withColumn("key", F.xxhash64("id", "text"))
-    joined = keyed.join(covered, (F.col("key") == F.col("covered_key")) & F.col("id").eqNullSafe(F.col("covered_id")), "left")
+    joined = keyed.join(covered.hint("shuffle_hash"), (F.col("key") == F.col("covered_key")) & F.col("id").eqNullSafe(F.col("covered_id")), "left")
     gone = let(_lines(F.col("text")), lambda x: F.transform("covered", lambda k: F.get(x, k.cast("int"))["at"]))
     stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
     rebuilt = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(let(F.split("text", "\n"), stay), "\n"))
