@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosslight.llm.word_tokens import WordTokens
+from mosslight.llm.word_tokens import word_tokens
 
 CAPACITY, END_ID, SHARD_TOKENS, TOKENIZER = 4096, 2, 4_000_000, "word_bpe_49k.json"
 
@@ -85,7 +85,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_
     """A row for each piece. ``sequence_id`` is the task's number times 2**33 plus a count within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer_path or _default_tokenizer())
+        words = word_tokens(tokenizer_path or _default_tokenizer())
         end = int(end_id).to_bytes(4, "little")
         ids, doc_ids, lengths, held, base = [], [], [], 0, None
         for batch in batches:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -22,7 +23,7 @@ _CALL = 1000
 class WordTokens:
     """``encode`` gives the ids of each text as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,15 +47,24 @@ class WordTokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a batch should be some hundred texts, as its new words are learned together."""
         split = [None if _OTHER.search(t) else _PARTS.findall(t.lower()) for t in texts]
-        all_parts = set().union(*(x for x in split if x is not None))
-        fresh = all_parts - self._cache.keys()
-        if len(self._cache) + len(fresh) > self._limit:
-            self._cache.clear()
-            fresh = all_parts
-        if fresh:
+        get = self._cache.get
+        found = [None if x is None else list(map(get, x)) for x in split]
+        missing = [i for i, x in enumerate(found) if x is not None and None in x]
+        if missing:
+            fresh = {part for i in missing for part, ids in zip(split[i], found[i], strict=True) if ids is None}
+            if len(self._cache) + len(fresh) > self._limit:
+                self._cache.clear()
+                fresh = set().union(*(split[i] for i in missing))
             self._learn(sorted(fresh))
-        get = self._cache.__getitem__
-        return [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, split, strict=True)]
+            for i in missing:
+                found[i] = map(get, split[i])
+        return [self._whole(t) if x is None else b"".join(x) for t, x in zip(texts, found, strict=True)]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def word_tokens(path: str) -> WordTokens:
+    """The process's own instance, so that a worker's tasks share what it has learned."""
+    return WordTokens(path)
