@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosslight.llm import language_id, license_scan, line_dedup, media, mixing, packing, quality_classifier, quality_rules, simhash
+from mosslight.llm import language_id, license_scan, line_dedup, media, mixing, packing, quality_classifier, quality_rules, simhash, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_read(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_license_scans": op6_license_scans,
     "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
