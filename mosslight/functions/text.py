@@ -68,10 +68,14 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for p in patterns:
         regex = "(?s)^" + fnmatch.translate(p).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z") + "$"
-        out = out | (path.rlike(regex) if "/" in p else F.exists(F.split(path, "/"), lambda x, r=regex: x.rlike(r)))
+        out = out | (path.rlike(regex) if "/" in p else F.exists(F.split(path, "/"), _matches(regex)))
     return out
 
 
+def _matches(regex: str):  # noqa: ANN202
+    return lambda x: x.rlike(regex)
+
+
 def clean_scalar(value: Column) -> Column:
     """Trimmed, with words that stand for nothing as null."""
     trimmed = F.trim(value)
@@ -116,7 +120,7 @@ def strip_code(text: Column) -> Column:
 
 
 def wikilinks(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(WIKILINK), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(WIKILINK), F.lit(1)), lambda x: F.trim(x))
 
 
 def markdown_links(text: Column) -> Column:
@@ -134,7 +138,7 @@ def citations(text: Column) -> Column:
 
 
 def clean_targets(targets: Column) -> Column:
-    return F.filter(F.transform(targets, F.trim), lambda x: (x != "") & ~x.rlike(URL_LIKE))
+    return F.filter(F.transform(targets, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(URL_LIKE))
 
 
 def body_links(text: Column) -> Column:
