@@ -39,5 +39,5 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet work table and return the table as a new DataFrame."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
