@@ -1,9 +1,9 @@
 """Quality by hierarchical empirical Bayes: document evidence, host and path posteriors.
 
-Document evidence is a naive Bayes log-odds over a text's distinct words and binned text
-statistics, learned from a bounded sample of labelled documents (``SAMPLE`` in expectation,
-chosen by a hash of the id) and calibrated on the half that training didn't see. One such
-model judges quality, another toxicity.
+Document evidence is a naive Bayes log-odds over a text's distinct words, frequent word
+beginnings and binned text statistics, learned from a bounded sample of labelled documents
+(``SAMPLE`` in expectation, chosen by a hash of the id) and calibrated on halves that the
+weights were not learned from. One such model judges quality, another toxicity.
 
 The probabilities of all documents are then summed by path and by host. A host's rate shrinks
 toward the global rate and a path's toward its host's, with beta priors whose weights are
@@ -30,16 +30,22 @@ from pyspark.sql import functions as F
 from mosslight.llm.quality_rules import beta_prior
 from mosslight.staging import stage
 
-SAMPLE, LONGEST, MIN_DOCS, LEXICON = 4000, 65_536, 3, 20_000
+SAMPLE, LONGEST, MIN_DOCS, LEXICON, STRICT = 4000, 65_536, 3, 20_000, 2.5
 _MARKS = "#*$%&|<>"
 
 
 def tokens(text: str | None) -> set[str]:
-    """Distinct lower-case words without marks around them, and the bins of the text's statistics."""
+    """Distinct lower-case words without marks around them, frequent word beginnings, and the bins of the text's statistics.
+
+    A beginning of four or six letters counts if it starts a twentieth of the distinct words, so
+    long texts don't have more of them than short ones.
+    """
     text = text or ""
     words = text.split()
     out = {w.strip(".,;:!?") for w in set(text.lower().split())}
     n, chars = len(words), max(1, len(text))
+    begun = Counter([w[:4] for w in out if len(w) > 4] + [w[:6] for w in out if len(w) > 6])
+    starts = {"\b" + p for p, c in begun.items() if c > 1 and 20 * c >= len(out)}
     marks = sum(map(text.count, _MARKS))
     upper = sum(map(str.isupper, words))
     lines = [x for x in text.split("\n") if x.strip()]
@@ -52,25 +58,29 @@ def tokens(text: str | None) -> set[str]:
         "lines": int(4 * len(set(lines)) / max(1, len(lines))),
         "shout": int(math.log2(1 + 256 * text.count("!") / chars)),
     }
-    return out | {f"\t{k}{v}" for k, v in bins.items()}
+    return out | starts | {f"\t{k}{v}" for k, v in bins.items()}
 
 
 @dataclass
 class Evidence:
-    """Weights of informative tokens; slope and intercept of the calibration; share of positives."""
+    """Weights of informative tokens; the calibration's slopes and intercept; share of positives."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    slope: float = 0.0
-    intercept: float = 0.0
+    slopes: tuple[float, float, float] = (0.0, 0.0, 0.0)
     base: float = 0.5
 
-    def raw(self, found: set[str]) -> float:
+    def raw(self, found: set[str]) -> tuple[float, float]:
+        """Evidence of the words, scaled so that long texts aren't surer for their length, and of the statistics."""
         w = self.weights
-        return sum(sorted(w[x] for x in found if x in w))
+        words = sorted(w[x] for x in found if x in w and x[0] != "\t")
+        stats = sorted(w[x] for x in found if x in w and x[0] == "\t")
+        return sum(words) / math.sqrt(1 + len(words)), sum(stats)
 
     def log_ratio(self, found: set[str]) -> float:
         """Calibrated log-odds less those of the base rate."""
-        return self.slope * self.raw(found) + self.intercept - _logit(self.base) if self.weights else 0.0
+        if not self.weights:
+            return 0.0
+        return sum(a * x for a, x in zip(self.slopes, (*self.raw(found), 1.0), strict=True)) - _logit(self.base)
 
 
 def _logit(p: float) -> float:
@@ -78,32 +88,43 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def fit(samples: list[tuple[set[str], int]]) -> Evidence:
-    """Naive Bayes on the even samples, a logistic calibration on the odd ones."""
-    ones = sum(y for _, y in samples)
-    if not 2 * MIN_DOCS <= ones <= len(samples) - 2 * MIN_DOCS:
-        return Evidence(base=(ones + 1) / (len(samples) + 2))
-    learn = samples[::2]
+def _weights(samples: list[tuple[set[str], int]]) -> dict[str, float]:
+    """Log ratios of token frequencies; a token counts if chance alone would seldom give its share."""
     counts, n = (Counter(), Counter()), [0, 0]
-    for found, y in learn:
+    for found, y in samples:
         counts[y].update(found)
         n[y] += 1
-    both = [w for w in counts[0].keys() | counts[1].keys() if counts[0][w] + counts[1][w] >= MIN_DOCS]
-    score = {w: math.log((counts[1][w] + 0.5) / (n[1] + 1)) - math.log((counts[0][w] + 0.5) / (n[0] + 1)) for w in both}
-    # a token counts if chance alone would seldom give its share
-    spread = {w: abs(s) / math.sqrt(1 / (counts[1][w] + 0.5) + 1 / (counts[0][w] + 0.5)) for w, s in score.items()}
-    kept = sorted((w for w in both if spread[w] > 3), key=lambda w: (-spread[w], w))[:LEXICON]
-    out = Evidence({w: score[w] for w in kept}, base=(ones + 1) / (len(samples) + 2))
-    x = np.array([out.raw(f) for f, _ in samples[1::2]])
-    y = np.array([v for _, v in samples[1::2]], dtype=float)
+    score, spread = {}, {}
+    for w in counts[0].keys() | counts[1].keys():
+        ones, zeros = counts[1][w], counts[0][w]
+        if ones + zeros >= MIN_DOCS and w:
+            score[w] = math.log((ones + 0.5) / (n[1] + 1)) - math.log((zeros + 0.5) / (n[0] + 1))
+            spread[w] = abs(score[w]) / math.sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
+    kept = sorted((w for w in score if spread[w] > STRICT), key=lambda w: (-spread[w], w))[:LEXICON]
+    return {w: score[w] for w in kept}
+
+
+def fit(samples: list[tuple[set[str], int]]) -> Evidence:
+    """Naive Bayes on all samples; its logistic calibration uses, for either half, weights learned from the other."""
+    ones = sum(y for _, y in samples)
+    out = Evidence(base=(ones + 1) / (len(samples) + 2))
+    if not 2 * MIN_DOCS <= ones <= len(samples) - 2 * MIN_DOCS:
+        return out
+    feats, target = [], []
+    for held in (0, 1):
+        other = Evidence(_weights(samples[1 - held :: 2]))
+        feats += [(*other.raw(f), 1.0) for f, _ in samples[held::2]]
+        target += [y for _, y in samples[held::2]]
+    x, y = np.array(feats), np.array(target, dtype=float)
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    ab = np.array([0.1, _logit(out.base)])
-    feats = np.c_[x, np.ones_like(x)]
+    start = np.array([0.1, 0.1, _logit(out.base)])
+    ab, ridge = start.copy(), np.diag([1e-2, 1e-2, 0.0])
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(feats @ ab, -30, 30)))
-        hess = (feats * (p * (1 - p))[:, None]).T @ feats + 1e-3 * np.eye(2)
-        ab = ab - np.clip(np.linalg.solve(hess, feats.T @ (p - t) + 1e-3 * np.array([ab[0] - 0.1, 0])), -1, 1)
-    out.slope, out.intercept = max(0.0, float(ab[0])), float(ab[1])
+        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
+        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-6 * np.eye(3)
+        ab = ab - np.clip(np.linalg.solve(hess, x.T @ (p - t) + ridge @ (ab - start)), -1, 1)
+    out.weights = _weights(samples)
+    out.slopes = (*(max(0.0, float(a)) for a in ab[:2]), float(ab[2]))
     return out
 
 
