@@ -300,7 +300,8 @@ def read_back(directory: DataFrame, folder: str, wanted: DataFrame) -> DataFrame
         store.close()
 
     routed = wanted.select("key", "page_id").distinct().mapInArrow(route, "file string, key string, page_id long")
-    return routed.repartitionByRange("file", "key", "page_id").sortWithinPartitions("file", "key", "page_id").mapInArrow(run, schema)
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # lookups are small rows but costly ones: not to be merged by size
+    return routed.repartitionByRange(tasks, "file", "key", "page_id").sortWithinPartitions("file", "key", "page_id").mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
