@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mosslight import schema as S
 from mosslight.staging import stage
@@ -105,7 +106,7 @@ def pagerank(adj: DataFrame, seeds: DataFrame, damping: float = S.DAMPING, toler
     rows = adj.collect()
     graph = spark.sparkContext.broadcast((names, np.array([at[r["src"]] for r in rows], int), np.array([at[r["dst"]] for r in rows], int), np.array([r["weight"] for r in rows], float)))
     per_query = restart(seeds, adj).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("node", "p"))).alias("seeds"))
-    kind = seeds.schema["query_id"].dataType.simpleString()
+    kind, id_type = seeds.schema["query_id"].dataType.simpleString(), to_arrow_type(seeds.schema["query_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, src, dst, w = graph.value
@@ -119,7 +120,7 @@ def pagerank(adj: DataFrame, seeds: DataFrame, damping: float = S.DAMPING, toler
                         p[where[s["node"]], j] = s["p"]
                 rank = _iterate(src, dst, w, p, damping, tolerance, iterations)
                 i, j = np.nonzero(rank > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([part[x]["query_id"] for x in j.tolist()]), pa.array([names[x] for x in i.tolist()], pa.string()), pa.array(rank[i, j])], names=["query_id", "node", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array([part[x]["query_id"] for x in j.tolist()], id_type), pa.array([names[x] for x in i.tolist()], pa.string()), pa.array(rank[i, j])], names=["query_id", "node", "rank"])
 
     return per_query.mapInArrow(run, f"query_id {kind}, node string, rank double")
 

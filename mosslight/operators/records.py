@@ -21,7 +21,7 @@ def next_number(*sources: DataFrame) -> DataFrame:
     for s in sources[1:]:
         union = union.unionByName(s.select("number"))
     following = F.coalesce(F.max(F.col("number").cast("int")), F.lit(0)) + 1
-    return union.agg(following.alias("n")).select(F.lpad(F.col("n").cast("string"), 4, "0").alias("number"))
+    return union.agg(following.alias("n")).select(F.format_string("%04d", "n").alias("number"))
 
 
 def allocate(slug: str, existing: DataFrame, *sources: DataFrame) -> str:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mosslight import schema as S
 
@@ -41,8 +42,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = S.POOL, metric: str = "
         raise ValueError(f"unknown metric {metric!r}")
     kind = vectors.schema[key].dataType.simpleString()
     id_kind = queries.schema["query_id"].dataType.simpleString()
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     blocks = _blocks(queries)
-    parts = [vectors.select(F.col(key), "embedding").mapInArrow(_nearest(ids, mat, k, metric, key), f"query_id {id_kind}, `{key}` {kind}, distance double") for ids, mat in blocks]
+    parts = [vectors.select(F.col(key), "embedding").mapInArrow(_nearest(pa.array(ids, id_type), mat, k, metric, key), f"query_id {id_kind}, `{key}` {kind}, distance double") for ids, mat in blocks]
     if not parts:
         empty = f"query_id {id_kind}, `{key}` {kind}, distance double, rank int"
         return vectors.sparkSession.createDataFrame([], empty)
@@ -72,7 +74,7 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return 1 - (x * q[:, None, :]).sum(axis=2) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=2))
 
 
-def _nearest(ids: list, queries: np.ndarray, k: int, metric: str, key: str):  # noqa: ANN202
+def _nearest(ids: pa.Array, queries: np.ndarray, k: int, metric: str, key: str):  # noqa: ANN202
     """A batch's own k nearest for each query, ties by key."""
     dim = queries.shape[1]
 
@@ -100,7 +102,7 @@ def _nearest(ids: list, queries: np.ndarray, k: int, metric: str, key: str):  #
                 best, d = np.take_along_axis(near, first, axis=1), np.take_along_axis(d, first, axis=1)
                 who = np.repeat(np.arange(len(q)), best.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[a + i] for i in who.tolist()]), keys.take(pa.array(best.ravel())), pa.array(d.ravel())], names=["query_id", key, "distance"]
+                    [ids.take(pa.array(a + who)), keys.take(pa.array(best.ravel())), pa.array(d.ravel())], names=["query_id", key, "distance"]
                 )
 
     return run

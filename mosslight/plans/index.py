@@ -146,6 +146,15 @@ def with_refs(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ref", chunk_ref(F.col("path"), F.col("heading_path"), ordinal)).select("ref", "path", F.col("chunk_seq").cast("int").alias("chunk_seq"), "heading_path", "body")
 
 
+def _current_vectors(old: Corpus, chunks: DataFrame, changes: DataFrame) -> DataFrame:
+    """Stored vectors that still hold: of chunks that exist, in documents that haven't changed.
+
+    A reference outlasts an edit of the text, so it alone doesn't say that a vector holds.
+    """
+    stale = old.chunks.select("ref", "path").join(incremental.stale_paths(changes), "path", "left_semi")
+    return old.vectors.join(chunks.select("ref"), "ref", "left_semi").join(stale.select("ref"), "ref", "left_anti")
+
+
 def must_rebuild(manifest: Manifest | None, full: bool, stemmed: bool, embedder: embedding.Embedder | None) -> bool:
     if full or manifest is None or manifest.schema_version != S.SCHEMA_VERSION or manifest.extractor_version != S.EXTRACTOR_VERSION or manifest.stemmed != stemmed:
         return True
@@ -207,7 +216,7 @@ def reindex(spark: SparkSession, root: str, files: DataFrame, knowledge: str | N
         save("stats", index.stats)
 
         embedded, status = 0, "disabled"
-        kept = old.vectors.join(chunks.select("ref"), "ref", "left_semi") if keep and old.vectors is not None and (embedder is None or manifest.embed_model == embedder.model) else spark.createDataFrame([], S.VECTORS)
+        kept = _current_vectors(old, chunks, changes) if keep and old.vectors is not None and (embedder is None or manifest.embed_model == embedder.model) else spark.createDataFrame([], S.VECTORS)
         if embedder is not None:
             status = "ready" if embedder.probe() else "unavailable"
             if status == "ready":

@@ -7,6 +7,7 @@ contents are read by Spark's ``binaryFile`` source.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -131,8 +132,8 @@ def read_files(spark: SparkSession, found: DataFrame, max_bytes: int = S.MAX_DOC
             continue
         rows.append((r["repo"], r["path"], r["abs_path"], float(st.st_mtime), st.st_size, os.path.islink(r["abs_path"])))
     listed = spark.createDataFrame(rows, "repo string, path string, abs_path string, mtime double, size long, is_symlink boolean")
-    readable = [f"file://{r[2]}" for r in rows if not r[5] and r[4] <= max_bytes]
+    readable = ["file://" + re.sub(r"([\[\]{}*?\\])", r"\\\1", r[2]) for r in rows if not r[5] and r[4] <= max_bytes]
     if not readable:
         return listed.select("repo", "path", "mtime", "size", "is_symlink", F.lit(None).cast("binary").alias("content"))
-    content = spark.read.format("binaryFile").load(readable).select(F.url_decode(F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), r"\+", "%2B")).alias("abs_path"), "content")
+    content = spark.read.format("binaryFile").load(readable).select(F.regexp_replace("path", "^file:/+", "/").alias("abs_path"), "content")
     return listed.join(content, "abs_path", "left").select("repo", "path", "mtime", "size", "is_symlink", "content")
