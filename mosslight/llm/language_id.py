@@ -58,27 +58,24 @@ def buckets(raw: np.ndarray) -> list[np.ndarray]:
 def averages(texts: list[str], scores: np.ndarray) -> np.ndarray:
     """The mean row of ``scores`` over all subwords of each whole text; memory follows ``WINDOW``."""
     total, count = np.zeros((len(texts), scores.shape[1])), np.zeros(len(texts))
-    held: list[bytes] = []
-    owner: list[int] = []
+    held: list[tuple[int, bytes, int]] = []  # text, its bytes, how many of the windows that begin in them count
 
     def flush() -> None:
-        starts = np.cumsum([0, *(len(p) for p in held[:-1])])
-        whole = np.frombuffer(b"".join(held) + _PAD, dtype=np.uint8)
-        for h in buckets(whole):
-            np.add.at(total, owner, np.add.reduceat(scores[h], starts, axis=0, dtype=np.float64))
-        np.add.at(count, owner, [len(ORDERS) * len(p) for p in held])
+        owner, parts, used = (list(x) for x in zip(*held, strict=True))
+        starts = np.cumsum([0, *map(len, parts[:-1])])
+        cuts = np.ravel(np.column_stack([starts, starts + used]))
+        cuts = cuts[: len(cuts) - (cuts[-1] == sum(map(len, parts)))]
+        for h in buckets(np.frombuffer(b"".join(parts) + _PAD, dtype=np.uint8)):
+            np.add.at(total, owner, np.add.reduceat(scores[h], cuts, axis=0, dtype=np.float64)[::2])
+        np.add.at(count, owner, len(ORDERS) * np.array(used))
         held.clear()
-        owner.clear()
 
     size = 0
     for i, t in enumerate(texts):
         raw = _PAD + t.lower().encode("utf-8", "surrogatepass") + _PAD
-        for a in range(0, max(1, len(raw) - 3), WINDOW):
-            if a:  # the windows that begin in the last three bytes before a cut are lost to the padding's; begin three earlier
-                a -= 3
-            part = raw[a : a + WINDOW]
-            held.append(part)
-            owner.append(i)
+        for a in range(0, len(raw), WINDOW):
+            part = raw[a : a + WINDOW + 3]
+            held.append((i, part, min(WINDOW, len(part))))
             size += len(part)
             if size >= WINDOW:
                 flush()

@@ -52,7 +52,7 @@ TEMPLATES = (
     Template("bsd", "redistribution ? use ? source ? binary forms", ("redistribution", "binary", "forms")),
     Template("mpl-2.0", "subject ? ? terms ? ? mozilla public license", ("mozilla", "public", "license")),
     Template("isc", "licensed ? ? isc license", ("isc", "license")),
-    Template("reserved", "copyright ? ? ? rights reserved", ("rights", "reserved")),
+    Template("copyright", "copyright ? ? ? ? rights reserved", ("copyright", "rights", "reserved")),
 )
 
 #: How many of a file's rarest licence words are looked up, and the share of a template's words that must be in place.
