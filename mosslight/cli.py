@@ -96,12 +96,16 @@ def run(argv: list[str], spark) -> object:  # noqa: ANN001
 
 def main() -> int:
     from mosslight.session import local_session
+    from mosslight.staging import clear
 
+    spark = local_session()
     try:
-        print(json.dumps(run(sys.argv[1:], local_session()), indent=1, default=str, ensure_ascii=False))
+        print(json.dumps(run(sys.argv[1:], spark), indent=1, default=str, ensure_ascii=False))
     except (ValueError, RuntimeError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
+    finally:
+        clear(spark)
     return 0
 
 

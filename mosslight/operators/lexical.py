@@ -66,10 +66,10 @@ def bm25(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     wanted = terms(queries, F.col("query"), ["query_id"], index.stemmed) if index.stemmed else queries.select("query_id", F.posexplode(query_terms(F.col("query"))).alias("pos", "term"))
     counted = wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(index.frequencies, "term")
     hits = index.postings.join(counted, "term").join(index.lengths, "ref")
-    one = index.stats.select("n_docs", "avgdl")
-    scored = hits.join(F.broadcast(one))  # one row: a scalar beside every hit
-    value = F.sum(F.col("qtf") * idf(F.col("n_docs"), F.col("df")) * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("score")
-    return scored.groupBy("query_id", "ref").agg(value)
+    one = index.stats.select("n_docs", "avgdl").first()  # two numbers, as constants of the plan
+    n_docs, avgdl = F.lit(one["n_docs"]), F.lit(one["avgdl"]).cast("double")
+    value = F.sum(F.col("qtf") * idf(n_docs, F.col("df")) * weight(F.col("tf"), F.col("dl"), avgdl)).alias("score")
+    return hits.groupBy("query_id", "ref").agg(value)
 
 
 def ranked(scored: DataFrame, order: DataFrame, k: int = S.POOL, digits: int = 9) -> DataFrame:

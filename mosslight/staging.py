@@ -35,9 +35,22 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/mosslight-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the work tables that this process has written; call it once results that read them are stored."""
+    n = 0
+    while _written:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_written.pop()).getParent()
+        n += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return n
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet work table and return the table as a new DataFrame."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
