@@ -10,9 +10,11 @@ Reading: lookups are dealt out by the same ranges. A task loads the directory of
 binary-searches it, reads that block's bytes, finds the capture, and reads the record's bytes
 out of its archive. What comes back is taken from the record alone.
 
-Files are written under a name of the attempt and renamed when whole; names depend on the
-partition only, so a repeated task replaces its own file by an equal one. Paths are URIs:
-local or shared folders are used through the operating system, others through pyarrow.fs.
+Every attempt of a task writes files of its own names and returns rows that point to them; a
+file is renamed to its name when whole. So a repeated or speculative attempt never touches
+what another has returned, whatever order its rows came in; files of attempts that lost are
+not referred to. Paths are URIs: local or shared folders are used through the operating
+system, others through pyarrow.fs.
 
 Edge cases: null html is an empty payload; a null URL has the empty key; a null id sorts
 after all ids; rows that repeat id and payload are captures of their own and of equal type;
@@ -26,6 +28,7 @@ import bisect
 import hashlib
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -72,8 +75,6 @@ class Store:
             self._fs, self._root = fs.FileSystem.from_uri(uri)
 
     def write(self, name: str, data: list[bytes]) -> None:
-        import uuid
-
         if self._local is not None:
             os.makedirs(self._local, exist_ok=True)
             temporary = f"{self._local}/.{name}.{uuid.uuid4().hex}"
@@ -169,7 +170,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         members, rows, at, name = [], [], 0, None
         for b in batches:
             for page_id, url, html, first, task in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                name = name or f"part-{task:06d}.warc.gz"
+                name = name or f"part-{task:06d}-{uuid.uuid4().hex}.warc.gz"
                 is_revisit = first is not None and page_id != first
                 member = gzip_member(record(page_id, url, html.encode("utf-8", "surrogatepass"), first, is_revisit))
                 members.append(member)
@@ -208,7 +209,7 @@ def write_index(captures: DataFrame, folder: str, lines: int = LINES) -> DataFra
 
         for b in batches:
             for key, page_id, archive, offset, length, task in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                name = name or f"index-{task:06d}.gz"
+                name = name or f"index-{task:06d}-{uuid.uuid4().hex}.gz"
                 held.append((key, page_id, f"{key}\t{'' if page_id is None else page_id}\t{archive}\t{offset}\t{length}"))
                 if len(held) >= lines:
                     close()
