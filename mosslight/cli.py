@@ -13,12 +13,14 @@ from mosslight.functions.embedding import CharacterEmbedder
 from mosslight.operators import evaluate, records, response
 from mosslight.plans import index
 from mosslight.plans.search import search, with_context
+from mosslight.settings import Settings
 from mosslight.sources import discovery, judgements
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="mosslight", description=__doc__)
-    p.add_argument("--index", default=".mosslight", help="folder of the index")
+    own = Settings.from_env()
+    p.add_argument("--index", default=own.index, help="folder of the index")
     p.add_argument("--embed-dim", type=int, default=0, help="width of the built-in character embedder; 0: no vectors")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("search")
@@ -32,10 +34,10 @@ def parser() -> argparse.ArgumentParser:
     r = sub.add_parser("recent")
     r.add_argument("--limit", type=_positive, default=S.DEFAULT_LIMIT)
     x = sub.add_parser("reindex")
-    x.add_argument("--workspace")
-    x.add_argument("--root", action="append")
-    x.add_argument("--knowledge")
-    x.add_argument("--exclude", action="append")
+    x.add_argument("--workspace", default=own.workspace)
+    x.add_argument("--root", action="append", default=own.roots or None)
+    x.add_argument("--knowledge", default=own.knowledge)
+    x.add_argument("--exclude", action="append", default=own.excludes or None)
     x.add_argument("--full", action="store_true")
     x.add_argument("--allow-empty", action="store_true")
     e = sub.add_parser("eval")
@@ -43,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("-k", type=_positive, default=S.DEFAULT_LIMIT)
     a = sub.add_parser("allocate")
     a.add_argument("slug")
-    sub.add_parser("status").add_argument("--knowledge")
+    sub.add_parser("status").add_argument("--knowledge", default=own.knowledge)
     return p
 
 

@@ -58,16 +58,27 @@ def checked(vectors: list[list[float]], n: int, dim: int) -> np.ndarray:
     return out
 
 
-def embed(rows: DataFrame, embedder: Embedder, key: str = "ref", text: str = "text", batch: int = S.EMBED_BATCH) -> DataFrame:
-    """``key, embedding`` for every row, some texts in a call."""
+def embed(rows: DataFrame, embedder: Embedder, key: str = "ref", text: str = "text", batch: int = S.EMBED_BATCH, strict: bool = True) -> DataFrame:
+    """``key, embedding`` for every row, some texts in a call.
+
+    A failed call raises; with ``strict`` off its rows are left out and what else was embedded
+    is kept, so that a later run embeds only what is missing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            parts = [checked(embedder.embed(texts[a : a + batch]), len(texts[a : a + batch]), embedder.dim) for a in range(0, len(texts), batch)]
+            parts, kept = [], []
+            for a in range(0, len(texts), batch):
+                try:
+                    parts.append(checked(embedder.embed(texts[a : a + batch]), len(texts[a : a + batch]), embedder.dim))
+                    kept += range(a, min(a + batch, len(texts)))
+                except (EmbeddingError, OSError):
+                    if strict:
+                        raise
             flat = np.concatenate(parts).ravel() if parts else np.empty(0, np.float32)
             offsets = np.arange(0, len(flat) + 1, embedder.dim, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()))], names=[key, "embedding"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()))], names=[key, "embedding"])
 
     return rows.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<float>")
 

@@ -41,6 +41,11 @@ def build(chunks: DataFrame, stemmed: bool = False) -> LexicalIndex:
     text = F.concat_ws(" ", "body", "heading_path")
     postings = terms(chunks, text, ["ref"], stemmed).groupBy("term", "ref").agg(F.count(F.lit(1)).alias("tf"))
     lengths = chunks.select("ref", F.size(folded_tokens(text) if stemmed else tokens(text)).cast("long").alias("dl"))
+    return from_tables(postings, lengths, stemmed)
+
+
+def from_tables(postings: DataFrame, lengths: DataFrame, stemmed: bool) -> LexicalIndex:
+    """An index with frequencies and statistics counted from its postings and lengths."""
     frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     return LexicalIndex(postings, lengths, frequencies, stats, stemmed)

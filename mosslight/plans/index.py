@@ -155,10 +155,20 @@ def _current_vectors(old: Corpus, chunks: DataFrame, changes: DataFrame) -> Data
     return old.vectors.join(chunks.select("ref"), "ref", "left_semi").join(stale.select("ref"), "ref", "left_anti")
 
 
+def _lexical(old: Corpus | None, chunks: DataFrame, new_chunks: DataFrame, changes: DataFrame, stemmed: bool) -> lexical.LexicalIndex:
+    """The inverted index of ``chunks``; only new chunks are tokenised, postings of unchanged documents are carried over."""
+    if old is None:
+        return lexical.build(chunks, stemmed)
+    fresh = lexical.build(new_chunks, stemmed)
+    stale = stage(old.chunks.select("ref", "path").join(incremental.stale_paths(changes), "path", "left_semi").select("ref"), "stale_refs")
+    kept = lambda table: table.join(stale, "ref", "left_anti")
+    return lexical.from_tables(kept(old.lexical.postings).unionByName(fresh.postings), kept(old.lexical.lengths).unionByName(fresh.lengths), stemmed)
+
+
 def must_rebuild(manifest: Manifest | None, full: bool, stemmed: bool, embedder: embedding.Embedder | None) -> bool:
     if full or manifest is None or manifest.schema_version != S.SCHEMA_VERSION or manifest.extractor_version != S.EXTRACTOR_VERSION or manifest.stemmed != stemmed:
         return True
-    return embedder is not None and manifest.embed_model is not None and manifest.embed_model != embedder.model and embedder.probe()
+    return embedder is not None and manifest.embed_model is not None and (manifest.embed_model, manifest.embed_dim) != (embedder.model, embedder.dim) and embedder.probe()
 
 
 def reindex(spark: SparkSession, root: str, files: DataFrame, knowledge: str | None = None, embedder: embedding.Embedder | None = None, full: bool = False, allow_empty: bool = False, stemmed: bool = True, max_bytes: int = S.MAX_DOCUMENT_BYTES) -> RunStats:
@@ -185,7 +195,7 @@ def reindex(spark: SparkSession, root: str, files: DataFrame, knowledge: str | N
         parsed = stage(parse_documents(texts), "parsed")
         facts = hashed.where("status = 'ok'").select("path", "repo", "mtime", "content_hash")
         new_docs = parsed.join(facts, "path").select("repo", "path", "title", classify(F.col("repo"), F.col("path"), knowledge).alias("doc_type"), "mtime", "content_hash", "decided_on", "superseded_by", "tags")
-        new_chunks = number_chunks(parsed)
+        new_chunks = stage(number_chunks(parsed), "new_chunks")
         new_targets = links.extract(parsed)
 
         def merged(table: DataFrame | None, new: DataFrame, path_col: str = "path") -> DataFrame:
@@ -209,9 +219,9 @@ def reindex(spark: SparkSession, root: str, files: DataFrame, knowledge: str | N
         resolved = stage(links.resolve(targets, documents), "resolved")
         save("doc_links", links.edges(resolved))
 
-        index = lexical.build(chunks, stemmed)
+        index = _lexical(old if keep else None, chunks, new_chunks, changes, stemmed)
         postings = save("postings", index.postings.repartitionByRange("term").sortWithinPartitions("term"))
-        index = lexical.LexicalIndex(postings, save("lengths", index.lengths), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.stats, stemmed)
+        index = lexical.from_tables(postings, save("lengths", index.lengths), stemmed)
         save("frequencies", index.frequencies)
         save("stats", index.stats)
 
@@ -221,7 +231,7 @@ def reindex(spark: SparkSession, root: str, files: DataFrame, knowledge: str | N
             status = "ready" if embedder.probe() else "unavailable"
             if status == "ready":
                 todo = vectors.missing(chunks, kept)
-                fresh_vectors = stage(embedding.embed(embedding.chunk_text(todo), embedder), "embedded")
+                fresh_vectors = stage(embedding.embed(embedding.chunk_text(todo), embedder, strict=False), "embedded")
                 embedded = fresh_vectors.count()
                 kept = kept.unionByName(fresh_vectors)
         saved = save("vectors", kept)

@@ -114,6 +114,11 @@ def search(
     return SearchResult(response.hits(page, corpus.chunks, corpus.documents, full), responses, lists, degraded)
 
 
+def search_one(corpus: Corpus, query: str, **options) -> SearchResult:  # noqa: ANN003
+    """A batch of one query."""
+    return search(corpus, corpus.documents.sparkSession.createDataFrame([("0", query)], S.QUERIES), **options)
+
+
 def with_context(result: SearchResult, corpus: Corpus, cap: int = S.CONTEXT_ITEMS) -> DataFrame:
     """Hits with ``assembled``: the references around each hit's document."""
     items = graph.context(corpus.edges, result.hits.select("path").distinct(), corpus.documents, cap)

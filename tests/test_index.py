@@ -9,6 +9,7 @@ from mosslight.functions.embedding import CharacterEmbedder
 from mosslight.operators import incremental, response
 from mosslight.plans import index
 from mosslight.plans.search import search
+from mosslight.settings import Settings
 from mosslight.sources import discovery, judgements
 from mosslight.streaming.reindex import stream_changes
 
@@ -133,6 +134,44 @@ def test_guards(spark, tmp_path):
         index.open_corpus(spark, home)
 
 
+class Failing(CharacterEmbedder):
+    """Fails for batches that hold a certain word."""
+
+    def embed(self, texts):
+        if any("bad" in t for t in texts):
+            raise OSError("no answer")
+        return super().embed(texts)
+
+
+def test_embedding_keeps_partial_progress(spark, tmp_path):
+    root, home = tmp_path / "r", str(tmp_path / "index")
+    write(root, {"docs/a.md": "good", "docs/b.md": "bad"})
+    first = index.reindex(spark, home, files(spark, root).repartition(2, "path"), embedder=Failing(16))
+    assert first.vectors < first.chunks and not first.fully_embedded
+    second = index.reindex(spark, home, files(spark, root), embedder=CharacterEmbedder(16))
+    assert second.fully_embedded and second.embedded == first.chunks - first.vectors and not second.rebuilt
+    assert index.reindex(spark, home, files(spark, root), embedder=CharacterEmbedder(8)).rebuilt
+
+
+def test_settings():
+    env = {"MOSSLIGHT_ROOTS": os.pathsep.join(["/a", "/b", ""]), "MOSSLIGHT_KNOWLEDGE": "", "MOSSLIGHT_INDEX": "/i"}
+    assert Settings.from_env(env) == Settings("/i", None, ["/a", "/b"], None, [])
+
+
+def test_carried_postings_equal_a_rebuild(spark, tmp_path):
+    root, homes = tmp_path / "r", (str(tmp_path / "one"), str(tmp_path / "two"))
+    write(root, {"docs/a.md": "alpha beta", "docs/b.md": "beta gamma", "docs/c.md": "gone words"})
+    index.reindex(spark, homes[0], files(spark, root))
+    write(root, {"docs/b.md": "beta beta delta", "docs/d.md": "alpha"})
+    (root / "docs/c.md").unlink()
+    assert index.reindex(spark, homes[0], files(spark, root)).rebuilt is False
+    index.reindex(spark, homes[1], files(spark, root))
+    for name in ("postings", "lengths", "frequencies", "stats", "chunks"):
+        tables = [spark.read.parquet(os.path.join(h, index.read_manifest(h).snapshot, name)) for h in homes]
+        rows = [sorted(map(str, t.select(sorted(t.columns)).collect())) for t in tables]
+        assert rows[0] == rows[1], name
+
+
 def test_diff_states(spark):
     cols = "path string, mtime double, content_hash string"
     old = spark.createDataFrame([("keep", 1.0, "h"), ("gone", 1.0, "h"), ("edit", 1.0, "h"), ("link", 1.0, "h"), ("lost", 1.0, "h")], cols)
