@@ -148,7 +148,8 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """``a, b``: true links that span every component of the fingerprints in ``distinct``."""
-    rows = filed_and_sought(distinct)
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = filed_and_sought(distinct.repartition(tasks))  # a small table that becomes 36 times as many rows
     many = stage(rows.where(~F.col("sought")).groupBy("key").count().where(F.col("count") > crowded).select(F.col("key").alias("many_key")), "crowded")
     if many.isEmpty():
         dealt = rows.withColumn("sub", F.lit(-1))
