@@ -249,10 +249,9 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str, stemmed: bool = False) -> tuple[lexical.LexicalIndex, DataFrame]:
-    chunks = views.chunks(spark, d)
+    chunks = stage(views.chunks(spark, d), "chunks")
     index = lexical.build(chunks, stemmed)
-    postings = stage(index.postings, "postings")
-    return lexical.LexicalIndex(postings, index.lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), index.stats, stemmed), chunks
+    return lexical.from_tables(stage(index.postings, "postings"), stage(index.lengths, "lengths"), stemmed), chunks
 
 
 @query(sql("SELECT query_id, ref, round(score, 6) AS score, rank FROM lexical", "lexical"))
@@ -343,7 +342,7 @@ def adjacency_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, d: str) -> Corpus:
     index, chunks = _index(spark, d)
-    chunks, edges = stage(chunks, "chunks"), stage(views.doc_links(spark, d), "edges")
+    edges = stage(views.doc_links(spark, d), "edges")
     docs = stage(views.documents(spark, d), "documents")
     return Corpus(docs, chunks, index, edges, stage(views.vectors(spark, d), "vectors"), "given", 64)
 
