@@ -344,7 +344,7 @@ def _corpus(spark: SparkSession, d: str) -> Corpus:
     index, chunks = _index(spark, d)
     edges = stage(views.doc_links(spark, d), "edges")
     docs = stage(views.documents(spark, d), "documents")
-    return Corpus(docs, chunks, index, edges, stage(views.vectors(spark, d), "vectors"), "given", 64)
+    return Corpus(docs, chunks, index, edges, stage(views.vectors(spark, d, chunks), "vectors"), "given", 64)
 
 
 def _base(spark: SparkSession, d: str, c: Corpus) -> DataFrame:

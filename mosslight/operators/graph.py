@@ -38,23 +38,34 @@ def restart(seeds: DataFrame, adj: DataFrame) -> DataFrame:
     return present.join(n, "query_id").select("query_id", F.col("path").alias("node"), (1 / F.col("n")).alias("p"))
 
 
-def pagerank_fixed(adj: DataFrame, seeds: DataFrame, iterations: int, damping: float = S.DAMPING, cut_every: int = 5) -> DataFrame:
+def pagerank_fixed(adj: DataFrame, seeds: DataFrame, iterations: int, damping: float = S.DAMPING, cut_every: int = 5, tolerance: float | None = None) -> DataFrame:
     """``query_id, node, rank`` after a number of iterations, as joins and aggregations.
 
     Each edge has its reverse, so no mass is lost at a node without edges. Ranks are written
-    out every few iterations, which keeps the plan short and a lost executor cheap.
+    out every few iterations, which keeps the plan short and a lost executor cheap. With a
+    ``tolerance`` the walk ends once no query's ranks moved by more since they were last written.
     """
     share, start = stage(normalized(adj), "shares"), stage(restart(seeds, adj), "restart")
-    rank = start.withColumnRenamed("p", "rank")
+    rank = written = start.withColumnRenamed("p", "rank")
     for i in range(1, iterations + 1):
         moved = rank.join(share, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), (damping * F.col("rank") * F.col("share")).alias("m"))
         back = start.select("query_id", "node", ((1 - damping) * F.col("p")).alias("m"))
         rank = moved.unionByName(back).groupBy("query_id", "node").agg(F.sum("m").alias("rank"))
         if i % cut_every == 0 and i < iterations:
             rank = stage(rank, "rank")
+            if tolerance is not None and _moved(written, rank) < tolerance:
+                break
+            written = rank
     return rank
 
 
+def _moved(before: DataFrame, after: DataFrame) -> float:
+    """The largest L1 distance of a query's ranks between two states."""
+    both = before.select("query_id", "node", (-F.col("rank")).alias("r")).unionByName(after.select("query_id", "node", F.col("rank").alias("r")))
+    gaps = both.groupBy("query_id", "node").agg(F.abs(F.sum("r")).alias("gap")).groupBy("query_id").agg(F.sum("gap").alias("gap"))
+    return gaps.agg(F.max("gap")).first()[0] or 0.0
+
+
 def power_iteration(adj: dict, seeds: list, damping: float = S.DAMPING, tolerance: float = S.TOLERANCE, iterations: int = S.MAX_ITERATIONS) -> dict:
     """Ranks on a small graph ``{node: {node: weight}}``; a node without edges returns its mass to the seeds."""
     nodes = sorted(adj)
@@ -100,12 +111,14 @@ def pagerank(adj: DataFrame, seeds: DataFrame, damping: float = S.DAMPING, toler
     spark = adj.sparkSession
     adj = stage(adj, "adjacency")
     if adj.count() > local_edges:
-        return pagerank_fixed(adj, seeds, iterations, damping).where("rank > 0")
+        return pagerank_fixed(adj, seeds, iterations, damping, tolerance=tolerance).where("rank > 0")
     names = sorted({r[0] for r in adj.select("src").distinct().collect()})
     at = {n: i for i, n in enumerate(names)}
     rows = adj.collect()
     graph = spark.sparkContext.broadcast((names, np.array([at[r["src"]] for r in rows], int), np.array([at[r["dst"]] for r in rows], int), np.array([r["weight"] for r in rows], float)))
     per_query = restart(seeds, adj).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("node", "p"))).alias("seeds"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_query = per_query.repartition(tasks, "query_id")  # few rows of much work: not to be merged by size
     kind, id_type = seeds.schema["query_id"].dataType.simpleString(), to_arrow_type(seeds.schema["query_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

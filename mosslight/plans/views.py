@@ -106,9 +106,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.transform(F.slice(ranked, 1, QUERY_WORDS), lambda x: x["w"]), " ").alias("query"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``ref, embedding``: the vector of the document's number stands at its first chunk."""
-    first = chunks(spark, sf_dir).groupBy("path").agg(F.min_by("ref", "chunk_seq").alias("ref"))
+def vectors(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """``ref, embedding``: the vector of the document's number stands at its first chunk (of the table ``of``)."""
+    first = (chunks(spark, sf_dir) if of is None else of).groupBy("path").agg(F.min_by("ref", "chunk_seq").alias("ref"))
     ids = corpus_docs(spark, sf_dir).select("doc_id", "path")
     return table(spark, sf_dir, "embeddings").join(ids, F.col("vec_id") == F.col("doc_id")).join(first, "path").select("ref", "embedding")
 

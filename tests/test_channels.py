@@ -162,7 +162,7 @@ def test_pagerank_of_tables(spark):
     some = sorted(adj)
     seeds = {0: [some[0]], 1: [some[3], some[5], "absent"], 2: ["absent"]}
     df = spark.createDataFrame([(q, s) for q, x in seeds.items() for s in x], "query_id int, path string")
-    for ranks, near in ((graph.pagerank(table, df), 1e-9), (graph.pagerank_fixed(table, df, 40), 2e-3)):
+    for ranks, near in ((graph.pagerank(table, df), 1e-9), (graph.pagerank_fixed(table, df, 40), 2e-3), (graph.pagerank(table, df, tolerance=1e-3, local_edges=0), 5e-3)):
         got = {}
         for r in ranks.collect():
             got.setdefault(r.query_id, {})[r.node] = r.rank
