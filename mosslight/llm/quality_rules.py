@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from mosslight.functions.lets import let
 from mosslight.staging import stage
 
-#: What separates words, as characters and as a pattern, and the symbols that are counted.
+#: What separates words, as characters and as patterns, and the symbols that are counted.
 BLANKS = " \t\n\x0b\x0c\r"
-SEPARATOR = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+BLANK, SEPARATOR = r"[\x20\x09-\x0D]", r"[\x20\x09-\x0D]+"
+SYMBOL = r"[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -48,11 +48,11 @@ def _repeat_words(words: Column) -> Column:
     """Words inside a three-word window that occurs twice or more; windows are compared as 64-bit hashes."""
 
     def covered(hashes: Column) -> Column:
-        ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def merge(s: Column) -> Column:
             same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
-            starts = F.array_sort(F.transform(F.filter(s, lambda x, j: same(x, j + 1) | F.when(j > 0, same(x, j - 1)).otherwise(False)), lambda x: x["i"]))
+            starts = F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j + 1) | F.when(j > 0, same(x, j - 1)).otherwise(False)), lambda x: x["i"]))
             grow = lambda a, x: F.struct((a["n"] + x + 3 - F.greatest(x, a["upto"])).alias("n"), (x + 3).alias("upto"))
             return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), grow, lambda a: a["n"])
 
@@ -76,8 +76,8 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.col(host_col).alias("host"),
             F.when(~blank, by_words).alias("w"),
             by_lines.alias("l"),
-            F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            (F.length(text) - F.regexp_count(text, F.lit(BLANK))).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         )
         .select(
             id_col,
