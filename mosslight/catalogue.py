@@ -73,7 +73,8 @@ def path_facts(spark: SparkSession, d: str) -> DataFrame:
     return views.corpus_docs(spark, d).select("path", text.is_work_log(F.col("path")).alias("work_log"), text.decision_number(F.col("path")).alias("number"))
 
 
-# Incremental maintenance: two snapshots of the corpus, made from ids
+# Incremental maintenance. The old and the new state of the corpus are both made from the whole table: ids decide which
+# documents came, went, changed or were only touched between the two.
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -313,6 +314,7 @@ def missing_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)"))
 def orphan_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of documents that are gone, a third of all in this state of the corpus."""
     e = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("ref"), "embedding")
     left = views.table(spark, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("ref"))
     return vectors.orphans(left, e).select(F.col("ref").alias("vec_id"))
@@ -506,11 +508,11 @@ def search_with_context(spark: SparkSession, d: str) -> DataFrame:
 # Responses
 
 
-@query(sql("SELECT c.ref, c.path || '#' || c.heading_path AS citation, d.repo, c.body, d.path IN (SELECT src_path FROM edges WHERE relation = 'superseded_by') AS is_superseded FROM chunks c JOIN corpus_docs d ON d.path = c.path WHERE c.chunk_seq = 3", "chunks", "corpus_docs", "edges"))
+@query(sql("SELECT c.ref, c.path || '#' || c.heading_path AS citation, d.repo, c.body, d.path IN (SELECT src_path FROM edges WHERE relation = 'superseded_by') AS is_superseded FROM chunks c JOIN corpus_docs d ON d.path = c.path", "chunks", "corpus_docs", "edges"))
 def get_chunk(spark: SparkSession, d: str) -> DataFrame:
-    """Point lookups of the fourth line of every document that has one."""
+    """Lookups by reference, of all references there are."""
     chunks = stage(views.chunks(spark, d), "chunks")
-    found = response.get_chunks(chunks.where("chunk_seq = 3"), chunks, views.documents(spark, d), views.doc_links(spark, d))
+    found = response.get_chunks(chunks.select("ref"), chunks, views.documents(spark, d), views.doc_links(spark, d))
     return found.select("ref", "citation", "repo", "body", "is_superseded")
 
 
