@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (2, 3, 4)
-PER_LANG, LONGEST, EPOCHS, SNIPPETS, PRECISION = 500, 65_536, 4, 4, 0.995
+PER_LANG, MOST, LONGEST, EPOCHS, SNIPPETS, PRECISION = 500, 8000, 65_536, 4, 4, 0.995
 WINDOW = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"   "
@@ -150,6 +150,7 @@ def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col:
     counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col)).count().collect()}
     if not counts:
         return []
+    per_lang = max(1, min(per_lang, MOST // len(counts)))
     draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
     rate = F.element_at(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1 << 40, (per_lang << 40) // v))]), F.col(lang_col))
     rows = usable.where((draw < rate) & (F.octet_length(F.col(text_col)) <= longest)).select(F.col(id_col), F.col(lang_col), F.col(text_col)).collect()
