@@ -21,7 +21,7 @@ from mosslight.functions.text import excluded
 SKIPPED = (".worktrees", "worktrees", "node_modules", ".git", "var", ".venv", ".pytest_cache", ".ruff_cache", ".mypy_cache", "__pycache__", "dist", "build")
 PROSE = ("docs", "decisions", "specs")
 ROOT_FILES = ("AGENTS.md", "CLAUDE.md", "README.md", "GOVERNANCE.md")
-REGISTRIES = (".corpus-repos.tsv", ".harnx-repos.tsv")
+REGISTRIES = (".corpus-repos.tsv",)
 WORKSPACE, SKILLS = "workspace", ".claude"
 
 
