@@ -24,8 +24,8 @@ def write(base, files):
 @pytest.fixture
 def workspace(tmp_path):
     top = tmp_path / "ws"
-    write(top, {f: "# x\n" for f in ("repo-a/AGENTS.md", "repo-a/README.md", "repo-a/docs/guide.md", "repo-a/docs/nested/deep.md", "repo-a/service/docs/in.md", "repo-a/tasks/todo.md", "repo-a/tasks/sub/no.md", "repo-a/NOTES.md", "repo-a/node_modules/docs/README.md", ".worktrees/wt1/AGENTS.md", "repo-a/var/docs/generated.md", "repo-a-stale/AGENTS.md", "docs/top.md", "AGENTS.md", ".claude/skills/foo/SKILL.md", "brain/anything/here.md", "repo-a/docs/it's 100%+odd é.md")})
-    write(top, {".corpus-repos.tsv": "repo-a\turl\tmain\n\nbrain\nmissing\n"})
+    write(top, {f: "# x\n" for f in ("repo-a/AGENTS.md", "repo-a/README.md", "repo-a/docs/guide.md", "repo-a/docs/nested/deep.md", "repo-a/service/docs/in.md", "repo-a/tasks/todo.md", "repo-a/tasks/sub/no.md", "repo-a/NOTES.md", "repo-a/node_modules/docs/README.md", ".worktrees/wt1/AGENTS.md", "repo-a/var/docs/generated.md", "repo-a-stale/AGENTS.md", "docs/top.md", "AGENTS.md", ".claude/skills/foo/SKILL.md", "kb/anything/here.md", "repo-a/docs/it's 100%+odd é.md")})
+    write(top, {".corpus-repos.tsv": "repo-a\turl\tmain\n\nkb\nmissing\n"})
     return top
 
 
@@ -33,7 +33,7 @@ def test_discovery(spark, workspace):
     paths = lambda **x: [r.path for r in discovery.discover(spark, str(workspace), **x).collect()]
     want = [".claude/skills/foo/SKILL.md", "AGENTS.md", "docs/top.md", "repo-a/AGENTS.md", "repo-a/README.md", "repo-a/docs/guide.md", "repo-a/docs/it's 100%+odd é.md", "repo-a/docs/nested/deep.md", "repo-a/service/docs/in.md", "repo-a/tasks/todo.md"]
     assert paths() == sorted(want)
-    assert paths(knowledge="brain") == sorted([*want, "brain/anything/here.md"])
+    assert paths(knowledge="kb") == sorted([*want, "kb/anything/here.md"])
     assert paths(excludes=["nested", "repo-a/docs/g*"]) == sorted(set(want) - {"repo-a/docs/guide.md", "repo-a/docs/nested/deep.md"})
     repos = {r.path: r.repo for r in discovery.discover(spark, str(workspace)).collect()}
     assert (repos["AGENTS.md"], repos[".claude/skills/foo/SKILL.md"], repos["repo-a/README.md"]) == ("workspace", ".claude", "repo-a")
