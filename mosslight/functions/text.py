@@ -183,7 +183,7 @@ def reference_date(decided_on: Column, mtime: Column) -> Column:
         F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd")),
         F.when(head.rlike(r"^\d{8}$"), F.try_to_date(head, "yyyyMMdd")),
     )
-    return F.coalesce(parsed, F.to_date(F.timestamp_seconds(mtime)))
+    return F.coalesce(parsed, F.date_add(F.lit("1970-01-01").cast("date"), F.floor(mtime / 86400).cast("int")))
 
 
 def recency(decided_on: Column, mtime: Column, as_of: Column, half_life: float = S.HALF_LIFE_DAYS) -> Column:
