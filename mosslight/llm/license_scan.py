@@ -2,9 +2,11 @@
 
 One pass over the texts finds the exact base phrases and every occurrence of a licence word
 with its position. The document frequencies of those words over the whole corpus give their
-IDF. For each file the licence words it contains with the highest IDF are looked up in the
-template postings; hits that agree on where the template starts are intersected, and a
-template counts once its mandatory key words stand at their places relative to that start.
+IDF. Each template is looked up by its mandatory key word of the highest IDF, wherever that
+stands; hits that agree on where the template starts are intersected, and a template counts
+once its mandatory key words stand at their places relative to that start. Since the word that
+is looked up is itself mandatory, no template that could be verified is missed, whatever other
+licence words the file holds.
 
 Edge cases: a null or empty text has no words and no labels; repeated rows are scanned each
 by itself; an empty table gives an empty result; columns other than id and text are ignored.
@@ -55,7 +57,7 @@ TEMPLATES = (
     Template("copyright", "copyright ? ? ? ? rights reserved", ("copyright", "rights", "reserved")),
 )
 
-#: How many of a file's rarest licence words are looked up, and the share of a template's words that must be in place.
+#: How many of a file's rarest licence words the SQL looks up (the scan has no such limit), and the share of a template's words that must be in place.
 RARE_WORDS, SHARE = 4, 0.6
 
 
@@ -122,28 +124,25 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 def template_hits(words: DataFrame, table: list[tuple[str, int, int, bool]], rank: dict[str, int], templates: tuple[Template, ...]) -> DataFrame:
     """``row_id, method_labels, share`` of the rows in which a template is verified.
 
-    Only rows with licence words take part. Their positions are exploded against the
-    postings, which are a constant of some hundred entries, and grouped by row, template
+    Only rows with licence words take part. Their positions are joined with the postings, which
+    are a constant of some hundred entries; only starts at which the template's rarest key word
+    stands (any word, for a template without key words) go on, and are grouped by row, template
     and start: groups are as small as a template.
     """
     spark = words.sparkSession
     size = {t: sum(p[1] == t for p in table) for t in range(len(templates))}
     keys = {t: sum(p[1] == t and p[3] for p in table) for t in range(len(templates))}
-    entries = [(w, t, o, k, size[t], keys[t], templates[t].label, rank.get(w, len(rank))) for w, t, o, k in table]
-    index = F.broadcast(spark.createDataFrame(entries, "word string, template int, offset int, is_key boolean, size int, keys int, label string, idf_rank int"))
+    rarest = {t: min(((rank.get(w, -1), o) for w, u, o, k in table if u == t and k), default=None) for t in range(len(templates))}
+    entries = [(w, t, o, k, size[t], keys[t], templates[t].label, rarest[t] is None or rarest[t][1] == o) for w, t, o, k in table]
+    index = F.broadcast(spark.createDataFrame(entries, "word string, template int, offset int, is_key boolean, size int, keys int, label string, is_rarest boolean"))
     at = words.where(F.size("found") > 0).select("row_id", F.explode("found").alias("x")).select("row_id", F.col("x.at").alias("at"), F.col("x.word").alias("word"))
     looked = at.join(index, "word").withColumn("start", F.col("at") - F.col("offset"))
-    ranks = F.array_sort(F.collect_set("idf_rank"))
-    rare = looked.groupBy("row_id").agg(F.element_at(F.slice(ranks, 1, RARE_WORDS), -1).alias("rare_rank"))
+    starts = looked.where("is_rarest").select("row_id", "template", "start")
     met = (
-        looked.join(rare, "row_id")
+        looked.join(starts, ["row_id", "template", "start"], "left_semi")
         .groupBy("row_id", "template", "start", "size", "keys", "label")
-        .agg(
-            F.max(F.col("idf_rank") <= F.col("rare_rank")).alias("by_rare"),
-            F.count(F.lit(1)).alias("n"),
-            F.count(F.when(F.col("is_key"), 1)).alias("n_keys"),
-        )
+        .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("is_key"), 1)).alias("n_keys"))
     )
     share = F.col("n") / F.col("size")
-    verified = met.where(F.col("by_rare") & (F.col("n_keys") == F.col("keys")) & (share >= SHARE))
+    verified = met.where((F.col("n_keys") == F.col("keys")) & (share >= SHARE))
     return verified.groupBy("row_id").agg(F.collect_set("label").alias("method_labels"), F.max(share).alias("share"))

@@ -95,3 +95,19 @@ def test_license_scan(spark):
     assert (got[9].n_words, got[9].n_base, got[9].first_word) == (7, 1, 2) and (got[11].first_word, got[7].n_words, got[7].first_word) == (20_000, 0, None)
     assert all(0 <= r.score <= 1 and (r.score > 0) == (r.labels != "") for r in got.values())
     assert license_scan.scan(df.where(F.lit(False))).count() == 0
+
+
+def test_license_scan_of_several_notices(spark):
+    gpl, apache = "licensed under the GNU General Public License, version 3", "licensed under the Apache License, Version 2.0"
+    rows = {
+        1: f"{apache} or licensed under the MIT license",
+        2: f"{gpl} or licensed under the MIT license",
+        3: f"{gpl}. {apache}. licensed under CC BY-NC 4.0.",
+        4: "0 1 2 3 4 cc0 sa nc isc mozilla. Released under the MIT License.",
+    }
+    rest = [(10 + i, "license released licensed mit") for i in range(30)]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame([*rows.items(), *rest], "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in rows} == {1: "apache-2.0,mit", 2: "gpl,gpl-3.0,mit", 3: "apache-2.0,cc-by,cc-by-nc,gpl,gpl-3.0", 4: "mit"}
+    assert not any(got[i] for i, _ in rest)
+    plain = license_scan.scan(spark.createDataFrame([(1, rows[1])], "doc_id long, text string"), templates=(license_scan.Template("any", "apache ? version 2", ()),))
+    assert plain.first().labels == "any"
