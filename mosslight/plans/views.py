@@ -121,7 +121,8 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``query_id, relevant``: documents that share a line with the passage; passages without any are left out.
 
-    An equality join on lines; no passage is compared with every text.
+    An equality join on lines; no passage is compared with every text. It is narrower than
+    containment: documents that hold a passage within a longer line are left out, as in the SQL.
     """
     lines = corpus_docs(spark, sf_dir).select("path", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", "\n")).alias("line"))
