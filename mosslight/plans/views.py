@@ -1,7 +1,8 @@
 """The engine's tables derived from the benchmark tables, by arithmetic on ids.
 
 The benchmark has no Markdown, so every document gets a path, a title and dates from its id,
-and a text with generated links before its own lines. Nothing is sampled or cut.
+and a text with generated links before its own lines. Documents are neither sampled nor cut;
+the search queries are cut to a few words of each passage (see ``queries``).
 """
 
 from __future__ import annotations
@@ -100,7 +101,10 @@ def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, query``: the longest distinct words of every benchmark passage, as a searcher would pick them."""
+    """``query_id, query``: the longest distinct words of every benchmark passage, as a searcher would pick them.
+
+    A cut of the passage to ``QUERY_WORDS`` words, as in the SQL.
+    """
     b = table(spark, sf_dir, "benchmark")
     ranked = F.array_sort(F.transform(F.array_distinct(tokens(F.col("text"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     return b.select(F.col("item_id").alias("query_id"), F.array_join(F.transform(F.slice(ranked, 1, QUERY_WORDS), lambda x: x["w"]), " ").alias("query"))
