@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -158,22 +159,23 @@ def votes(ranks: DataFrame, base: DataFrame, chunks: DataFrame, limit: int = S.P
     return few.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= limit).select("query_id", "ref", "rank")
 
 
-def supersedence_chain(edges: DataFrame, starts: DataFrame, most_hops: int = 50) -> DataFrame:
+def supersedence_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``path, other, relation, hop, pos``: what supersedes each start, then what it supersedes, however far.
 
     A frontier that walks the edges hop by hop; a document that was seen from the same start
-    isn't visited again, so cycles end. Forward hops come first.
+    isn't visited again, so cycles end. What was seen is written out every ten hops, so plans
+    stay short. Forward hops come first.
     """
     links = stage(edges.where(F.col("relation") == S.SUPERSEDED_BY).select("src_path", "dst_path").distinct(), "supersedences")
     seen = stage(starts.select("path").distinct().select("path", F.col("path").alias("other"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("hop")), "seen")
     for src, dst, relation in (("src_path", "dst_path", S.SUPERSEDED_BY), ("dst_path", "src_path", S.SUPERSEDES)):
         front = seen.where("hop = 0").select("path", F.col("other").alias("at"))
-        for hop in range(1, most_hops + 1):
+        for hop in count(1):
             step = front.join(links, F.col("at") == F.col(src)).select("path", F.col(dst).alias("other")).distinct()
             fresh = stage(step.join(seen.select("path", "other"), ["path", "other"], "left_anti").withColumns({"relation": F.lit(relation), "hop": F.lit(hop)}), "hop")
             if fresh.isEmpty():
                 break
-            seen = seen.unionByName(fresh)
+            seen = seen.unionByName(fresh) if hop % 10 else stage(seen.unionByName(fresh), "seen")
             front = fresh.select("path", F.col("other").alias("at"))
     forward = F.when(F.col("relation") == S.SUPERSEDED_BY, 0).otherwise(1)
     by = Window.partitionBy("path").orderBy(forward, "hop", "other")

@@ -190,6 +190,13 @@ def test_context(spark):
     assert [x.path for x in one.assembled] == ["b", "c", "z", "m", "n"] and one.assembled[0].title == "B"
 
 
+def test_supersedence_chain_has_no_limit_of_hops(spark):
+    hops = 53
+    edges = spark.createDataFrame([(f"p{i:02}", f"p{i + 1:02}", S.SUPERSEDED_BY) for i in range(hops)], S.DOC_LINKS)
+    got = graph.supersedence_chain(edges, spark.createDataFrame([("p00",)], "path string")).orderBy("pos").collect()
+    assert [(r.other, r.hop, r.pos) for r in got] == [(f"p{i:02}", i, i) for i in range(1, hops + 1)]
+
+
 def test_resolution(spark):
     docs = [("a", "a/decisions/0006-x.md", "X"), ("b", "b/decisions/0006-y.md", "Y"), ("b", "b/docs/one.md", "Same"), ("a", "a/docs/two.md", "Same"), ("a", "a/docs/src.md", "Src"), ("c", "c/tasks/log.md", "Log"), ("c", "c/docs/cite.md", "Cite"), ("d", "d/decisions/0007-p.md", "P"), ("d", "d/decisions/0007-q.md", "Q"), ("d", "d/docs/in.md", "In")]
     targets = {
