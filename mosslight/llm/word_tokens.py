@@ -3,7 +3,8 @@
 The vocabulary's tokenizer first splits a text into words, digits and runs of marks, and
 encodes each of these by itself. Most of them recur; a cache of their ids is several times
 as fast as encoding every text anew. That split is repeated here for texts of ASCII and
-Latin-1 letters, which normalisation leaves alone; any other text is encoded whole.
+Latin-1 letters, which normalisation leaves alone; any other text is encoded whole, and so
+is a text that holds a special token literally, where the tokenizer gives that its own id.
 """
 
 from __future__ import annotations
@@ -21,14 +22,19 @@ _CALL = 1000
 
 
 class WordTokens:
-    """``encode`` gives the ids of each text as little-endian unsigned 32-bit integers."""
+    """``encode`` gives the ids of each text as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, cache_words: int = 800_000):
+    ``special_as_text`` encodes special tokens in texts like any other characters; without
+    it the ids are those of the tokenizer as loaded.
+    """
+
+    def __init__(self, path: str, cache_words: int = 800_000, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = special_as_text
+        self._special = () if special_as_text else tuple(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
         self._limit, self._cache = cache_words, {}
         vocab = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -46,7 +52,7 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a batch should be some hundred texts, as its new words are learned together."""
-        split = [None if _OTHER.search(t) else _PARTS.findall(t.lower()) for t in texts]
+        split = [None if _OTHER.search(t) or any(s in t for s in self._special) else _PARTS.findall(t.lower()) for t in texts]
         get = self._cache.get
         found = [None if x is None else list(map(get, x)) for x in split]
         missing = [i for i, x in enumerate(found) if x is not None and None in x]
@@ -67,4 +73,4 @@ class WordTokens:
 @lru_cache(maxsize=2)
 def word_tokens(path: str) -> WordTokens:
     """The process's own instance, so that a worker's tasks share what it has learned."""
-    return WordTokens(path)
+    return WordTokens(path, special_as_text=False)

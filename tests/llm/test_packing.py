@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from mosslight.llm import packing
-from mosslight.llm.word_tokens import WordTokens
+from mosslight.llm.word_tokens import WordTokens, word_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " \n ", "Don't 're'll ÀÉ's don't. |x 12a3", "é İstanbul K ½ ǅ <|endoftext|>x", "\x1c a\x85b​c", "ß. ẞ ÿ µ ª × ÷x", "</w> w</w>"]
@@ -25,6 +25,15 @@ def test_cached_ids_equal_the_tokenizers():
         assert tokens.encode(texts) == want
 
 
+def test_ids_equal_those_of_the_tokenizer_as_loaded(spark):
+    texts = [*ODD, "end <|endoftext|> next", "<|startoftext|><|endoftext|>", "a<|ENDOFTEXT|>b", "x <| y |> endoftext", "end next"]
+    want = [np.array(own_ids(t), dtype="<u4").tobytes() for t in texts]
+    assert word_tokens(PATH).encode(texts) == want
+    got = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("start = 0").collect()}
+    ids = [np.array([*own_ids(t), 2], dtype="<u4") for t in texts]
+    assert {i: (r.doc_tokens, r.ids_crc32) for i, r in got.items()} == {i: (len(x), zlib.crc32(x[: got[i].length].tobytes())) for i, x in enumerate(ids)}
+
+
 def test_assignment_fills_sequences():
     rng = np.random.default_rng(0)
     lengths = np.r_[rng.integers(1, 5000, 400), [4096, 8192, 1, 1, 20_000]]
