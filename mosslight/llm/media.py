@@ -46,9 +46,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def thumbnail_hash(thumb: np.ndarray) -> str:
-    """64 bits: whether brightness rises from each to the next of nine columns, in eight rows."""
-    rows, cols = np.arange(8) * thumb.shape[0] // 8, np.arange(9) * thumb.shape[1] // 9
-    small = thumb[rows[:, None], cols]
+    """64 bits: whether brightness rises from each to the next of nine columns, in eight rows.
+
+    Rows and columns are means over equal parts of the whole thumbnail; one of fewer pixels than
+    parts repeats its pixels.
+    """
+    parts = lambda size, n: (np.arange(n) * size // n, np.maximum(np.arange(1, n + 1) * size // n, np.arange(n) * size // n + 1))
+    (top, below), (left, right) = parts(thumb.shape[0], 8), parts(thumb.shape[1], 9)
+    sums = np.pad(thumb.astype(np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    area = sums[below[:, None], right] - sums[below[:, None], left] - sums[top[:, None], right] + sums[top[:, None], left]
+    small = area / ((below - top)[:, None] * (right - left))
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 

@@ -120,3 +120,20 @@ def test_rows(spark):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(padded), zlib.crc32(padded[-64:]))
         assert r.media_sha256 == hashlib.sha256(jpeg.encode([padded])[0]).hexdigest()
     assert media.describe(media.store(df.where(F.lit(False)))).count() == 0
+
+
+def test_thumbnail_hash_depends_on_every_pixel():
+    flat = np.full((64, 90), 100, dtype=np.uint8)
+    base, seen = media.thumbnail_hash(flat), set()
+    for y, x in ((0, 13), (3, 15), (63, 89), (37, 41), (33, 12)):
+        other = flat.copy()
+        other[y, x] += 1
+        seen.add(media.thumbnail_hash(other))
+        other[y, x] -= 2
+        seen.add(media.thumbnail_hash(other))
+    assert base == "0" * 16 and len(seen - {base}) > 5
+    for h, w in ((1, 1), (8, 9), (5, 200), (200, 3)):
+        thumb = np.random.default_rng(h).integers(0, 256, (h, w), dtype=np.uint8)
+        rows, cols = ([thumb[i * h // 8 : max((i + 1) * h // 8, i * h // 8 + 1)] for i in range(8)], [(j * w // 9, max((j + 1) * w // 9, j * w // 9 + 1)) for j in range(9)])
+        small = np.array([[r[:, a:z].mean() for a, z in cols] for r in rows])
+        assert media.thumbnail_hash(thumb) == np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
