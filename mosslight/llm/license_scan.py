@@ -8,12 +8,19 @@ once its mandatory key words stand at their places relative to that start. Since
 is looked up is itself mandatory, no template that could be verified is missed, whatever other
 licence words the file holds.
 
-Edge cases: a null or empty text has no words and no labels; repeated rows are scanned each
-by itself; an empty table gives an empty result; columns other than id and text are ignored.
+Key words are chosen so that a notice of a longer name isn't taken for a shorter one: ``gnu``
+must stand right before ``general`` for the GPL, so Affero and Lesser notices aren't its.
+
+Edge cases: a null or empty text has no words and no labels; a very long text is scanned whole,
+its words as one array of the row; templates that start at the same place are verified each for
+itself, and of several hits the best share counts; repeated rows are scanned each by itself; an
+empty table gives an empty result; columns other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,20 +38,20 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 
 @dataclass(frozen=True)
 class Template:
-    """A licence notice. ``key`` words are mandatory; ``?`` stands for a word that isn't looked at."""
+    """A licence notice or a passage of a licence's body. ``key`` words are mandatory; ``?`` stands for a word that isn't looked at."""
 
     label: str
     words: str
     key: tuple[str, ...]
 
 
-#: Notices in common use. Frequent words of the language are left out as ``?``.
+#: Notices in common use, then passages of licence bodies. Frequent words of the language are left out as ``?``.
 TEMPLATES = (
     Template("mit", "released ? ? mit license", ("mit", "license")),
     Template("mit", "licensed ? ? mit license", ("mit", "license")),
     Template("apache-2.0", "licensed ? ? apache license version 2 0", ("apache", "license")),
-    Template("gpl-3.0", "licensed ? ? gnu general public license version 3", ("general", "public", "license", "3")),
-    Template("gpl-2.0", "licensed ? ? gnu general public license version 2", ("general", "public", "license", "2")),
+    Template("gpl-3.0", "licensed ? ? gnu general public license version 3", ("gnu", "general", "public", "license", "3")),
+    Template("gpl-2.0", "licensed ? ? gnu general public license version 2", ("gnu", "general", "public", "license", "2")),
     Template("lgpl", "licensed ? ? gnu lesser general public license version 3", ("lesser", "general", "public", "license")),
     Template("agpl", "licensed ? ? gnu affero general public license version 3", ("affero", "general", "public", "license")),
     Template("cc-by-nc", "licensed ? cc ? nc 4 0", ("cc", "nc")),
@@ -55,15 +62,43 @@ TEMPLATES = (
     Template("mpl-2.0", "subject ? ? terms ? ? mozilla public license", ("mozilla", "public", "license")),
     Template("isc", "licensed ? ? isc license", ("isc", "license")),
     Template("copyright", "copyright ? ? ? ? rights reserved", ("copyright", "rights", "reserved")),
+    Template("mit", "permission ? hereby granted free ? charge ? any person obtaining ? copy ? ? software ? associated documentation files", ("hereby", "granted", "obtaining", "software", "documentation")),
+    Template("isc", "permission ? use copy modify ? ? distribute ? software ? any purpose ? ? without fee ? hereby granted", ("modify", "distribute", "purpose", "fee", "hereby")),
+    Template("bsd", "redistributions ? source code must retain ? above copyright notice ? list ? conditions ? ? following disclaimer", ("redistributions", "source", "retain", "conditions", "disclaimer")),
+    Template("apache-2.0", "unless required ? applicable law ? agreed ? ? writing software distributed under ? license ? distributed ? ? as ? basis", ("applicable", "writing", "distributed", "license", "basis")),
+    Template("gpl-3.0", "terms ? ? gnu general public license as published ? ? free software foundation either version 3", ("gnu", "general", "published", "foundation", "3")),
+    Template("gpl-2.0", "terms ? ? gnu general public license as published ? ? free software foundation either version 2", ("gnu", "general", "published", "foundation", "2")),
+    Template("lgpl", "terms ? ? gnu lesser general public license as published ? ? free software foundation", ("gnu", "lesser", "published", "foundation")),
+    Template("agpl", "terms ? ? gnu affero general public license as published ? ? free software foundation", ("gnu", "affero", "published", "foundation")),
+    Template("unlicense", "free ? unencumbered software released ? ? public domain", ("unencumbered", "public", "domain")),
 )
 
-#: How many of a file's rarest licence words the SQL looks up (the scan has no such limit), and the share of a template's words that must be in place.
-RARE_WORDS, SHARE = 4, 0.6
+#: The share of a template's words that must be in place.
+SHARE = 0.6
+
+
+def template(label: str, text: str, rank: Mapping[str, int], keys: int = 5, most_common: int | None = None) -> Template:
+    """A template from a licence's own text, however long.
+
+    Its ``keys`` rarest distinct words by ``rank`` (0 is the rarest; an unknown word is rarer) are mandatory. Words of a
+    rank over ``most_common`` aren't looked at.
+    """
+    words = [w for w in re.split(SEPARATOR, "".join(c.lower() if c.isascii() else c for c in text)) if w]
+    shown = [w if most_common is None or rank.get(w, -1) <= most_common else "?" for w in words]
+    rarest = sorted({w for w in shown if w != "?"}, key=lambda w: (rank.get(w, -1), w))[:keys]
+    return Template(label, " ".join(shown), tuple(rarest))
 
 
 def postings(templates: tuple[Template, ...] = TEMPLATES) -> list[tuple[str, int, int, bool]]:
-    """(word, template number, offset, is mandatory) for every word of every template."""
-    return [(w, t, o, w in x.key) for t, x in enumerate(templates) for o, w in enumerate(x.words.split()) if w != "?"]
+    """(word, template number, offset, is mandatory) for every word of every template; of a key word that recurs the first place is mandatory."""
+    out = []
+    for t, x in enumerate(templates):
+        left = set(x.key)
+        for o, w in enumerate(x.words.split()):
+            if w != "?":
+                out.append((w, t, o, w in left))
+                left.discard(w)
+    return out
 
 
 def scan_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:

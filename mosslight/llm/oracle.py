@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosslight.llm.license_scan import PHRASES, RARE_WORDS, SHARE, TEMPLATES, postings
+from mosslight.llm.license_scan import PHRASES, SHARE, TEMPLATES, postings
 from mosslight.llm.quality_rules import Limits
 
 _SEP = r"[^\x20\x09-\x0D]+"
@@ -64,11 +64,9 @@ places AS MATERIALIZED ({phrases}),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
 postings(word, template, off, is_key, size, keys, label) AS (VALUES {entries}),
 found AS MATERIALIZED (SELECT doc_id, word, i FROM tokens WHERE word IN ({vocabulary})),
-idf AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY n, word) AS rank FROM (SELECT word, count(DISTINCT doc_id) AS n FROM found GROUP BY word)),
-looked AS MATERIALIZED (SELECT f.doc_id, f.i - p.off AS start, p.*, idf.rank FROM found f JOIN postings p USING (word) JOIN idf USING (word)),
-rare AS (SELECT doc_id, list_sort(list(DISTINCT rank))[least({RARE_WORDS}, count(DISTINCT rank))] AS last_rank FROM looked GROUP BY doc_id),
-met AS (SELECT doc_id, template, start, size, keys, label, bool_or(rank <= last_rank) AS by_rare, count(*) AS n, count(*) FILTER (is_key) AS n_keys FROM looked JOIN rare USING (doc_id) GROUP BY ALL),
-verified AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n::DOUBLE / size) AS share FROM met WHERE by_rare AND n_keys = keys AND n::DOUBLE / size >= {SHARE} GROUP BY doc_id)
+met AS (SELECT doc_id, template, start, size, keys, label, count(*) AS n, count(*) FILTER (is_key) AS n_keys
+ FROM (SELECT f.doc_id, f.i - p.off AS start, p.* FROM found f JOIN postings p USING (word)) GROUP BY ALL),
+verified AS (SELECT doc_id, list(DISTINCT label) AS labels, max(n::DOUBLE / size) AS share FROM met WHERE n_keys = keys AND n::DOUBLE / size >= {SHARE} GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(v.labels, [])))), ','), '') AS labels,
  round(greatest(coalesce(share, 0), CASE WHEN n_base > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 6) AS score FROM words w LEFT JOIN base b USING (doc_id) LEFT JOIN verified v USING (doc_id)

@@ -111,3 +111,29 @@ def test_license_scan_of_several_notices(spark):
     assert not any(got[i] for i, _ in rest)
     plain = license_scan.scan(spark.createDataFrame([(1, rows[1])], "doc_id long, text string"), templates=(license_scan.Template("any", "apache ? version 2", ()),))
     assert plain.first().labels == "any"
+
+
+def test_license_scan_tells_long_names_apart(spark):
+    notice = "licensed under the GNU {} Public License, version 3"
+    body = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)"
+    rows = {
+        1: notice.format("Affero General"),
+        2: notice.format("Lesser General"),
+        3: notice.format("General"),
+        4: notice.format("Affero General") + " or " + notice.format("General"),
+        5: "/* " + body.replace(" ", "\n * ") + " */",
+        6: "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        7: "AGPL: " + notice.format("Affero General") + "; redistribution and use in source and binary forms; subject to the terms of the Mozilla Public License; CC0 1.0 Universal Public Domain Dedication; licensed under the ISC license; licensed under the MIT license; licensed under the Apache License, Version 2.0",
+        8: "word " * 30_000 + body + " word" * 30_000,
+    }
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows.items()], "doc_id long, text string, row_id string, found string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(df).collect()}
+    assert got == {1: "agpl,gpl", 2: "gpl,lgpl", 3: "gpl,gpl-3.0", 4: "agpl,gpl,gpl-3.0", 5: "mit", 6: "agpl,gpl", 7: "agpl,apache-2.0,bsd,cc0,gpl,isc,mit,mpl-2.0", 8: "mit"}
+
+
+def test_license_template_from_a_text(spark):
+    text = "The quick licence permits any fox to jump over the lazy dog without fee. The fox must keep this notice."
+    made = license_scan.template("fox", text, {"the": 9, "fox": 3, "any": 8, "to": 7}, keys=3, most_common=8)
+    assert made.words.startswith("? quick licence permits any fox") and len(made.key) == 3 and "the" not in made.key
+    df = spark.createDataFrame([(1, "x " + text), (2, text.replace("lazy", "busy")), (3, text.replace("quick", "slow").replace(made.key[0], "zzz"))], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan(df, templates=(made,)).collect()} == {1: "fox", 2: "fox", 3: ""}
