@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -88,8 +89,46 @@ def test_mixing(spark):
         taken[s] += r.taken
     for s, t in want.items():
         assert abs(taken[s] - t) <= 0.01 * t + 20
-    again = mixing.mix(mixing.size_table(df)).collect()
-    assert sorted((str(r.doc_id), r.copies) for r in again if r.doc_id != 7) == sorted((str(r.doc_id), r.copies) for r in got if r.doc_id != 7)
+    key = lambda r: (str(r.doc_id), r.size, r.copies, r.taken)
+    assert sorted(map(key, mixing.mix(mixing.size_table(df.repartition(7))).collect())) == sorted(map(key, got))
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns and sum(len((r.text or "").split()) for r in out.collect()) == sum(taken.values())
-    assert mixing.mix(mixing.size_table(df.where(F.lit(False)))).count() == 0
+    assert mixing.mix(mixing.size_table(df.where(F.lit(False)))).count() == mixing.mixed_documents(df.where(F.lit(False))).count() == 0
+
+
+def bisected(sizes, target):
+    """The tilt that makes the expected words of a source meet its target, found without derivatives."""
+    mean, low, high = sum(sizes) / len(sizes), -60.0, 60.0
+    words = lambda t: sum(s * 2 / (1 + math.exp(min(700.0, -(math.log(3) + t * s / mean)))) for s in sizes)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if words(mid) < target else (low, mid)
+    return (low + high) / 2
+
+
+def test_mixing_rates_equal_an_independent_solution(spark):
+    rng = random.Random(4)
+    sizes = {s: [int(rng.paretovariate(1.5) * 10) for _ in range(n)] for s, n in (("a", 300), ("b", 500), ("c", 900))}
+    docs = [(i, "w " * n, s) for s, x in sizes.items() for i, n in enumerate(x)]
+    got = mixing.mix(mixing.size_table(spark.createDataFrame(docs, "doc_id long, text string, source string"))).collect()
+    want = brute.targets(sizes)
+    assert any(t < 2 * sum(sizes[s]) for s, t in want.items())
+    rates = {(r.source_size, r.doc_id): r.rate for r in got}
+    for s, x in sizes.items():
+        t, mean = want[s], sum(x) / len(x)
+        tilt = bisected(x, t) if t < 2 * sum(x) else math.inf
+        for i, n in enumerate(x):
+            rate = 2 / (1 + math.exp(min(700.0, -(math.log(3) + tilt * n / mean))))
+            assert abs(rates[sum(x), i] - rate) < 1e-5
+
+
+def test_mixing_of_equal_ids_long_texts_and_clashing_columns(spark):
+    rows = [(7, "a b c", "s", i) for i in range(9)] + [(7, "d e f", "s", 100 + i) for i in range(8)] + [(None, "x " * 400_000, None, 0), (8, "", "s", 1), (8, None, "s", 1)]
+    cols = "doc_id long, text string, source string, place_row int"
+    df = spark.createDataFrame(rows, cols).selectExpr("*", "'n' as n", "0 as size", "1 as target", "2 as `a.b`")
+    got = mixing.mix(mixing.size_table(df)).collect()
+    assert len(got) == len(rows) and {r.size for r in got} == {0, 3, 400_000}
+    runs = [mixing.mixed_documents(df.repartition(k)) for k in (1, 3)]
+    assert runs[0].columns == df.columns
+    texts = [sorted((r.doc_id or 0, r.text[:9]) for r in run.collect()) for run in runs]
+    assert texts[0] == texts[1] and sum(len(r.text.split()) for r in runs[0].collect()) == sum(r.taken for r in got)

@@ -27,14 +27,16 @@ def test_packing_covers_each_token_once_in_the_fewest_sequences(lengths, capacit
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 900), st.floats(0, 2)), min_size=1, max_size=80))
+@given(st.lists(st.tuples(st.integers(0, 900), st.floats(0, 2), st.integers(1, 5)), min_size=1, max_size=80))
 def test_copies_stay_next_to_rates_and_near_the_words_owed(rows):
     import pandas as pd
 
-    df = pd.DataFrame([(i, i, s, r) for i, (s, r) in enumerate(rows)], columns=["row_id", "doc_id", "size", "rate"])
+    df = pd.DataFrame([(i, s, r, n) for i, (s, r, n) in enumerate(rows)], columns=["doc_id", "size", "rate", "n"])
     out = mixing.copies_in_shard(df)
-    assert (out["copies"] >= np.floor(out["rate"]) * (out["size"] > 0)).all() and (out["copies"] <= np.minimum(2, np.floor(out["rate"]) + 1)).all()
-    assert abs(out["taken"].sum() - (out["size"] * out["rate"]).sum()) <= max(s for s, _ in rows)
+    filled = out["size"] > 0
+    assert (out["low"] == np.minimum(2, np.floor(out["rate"])) * filled).all() and (out["more"] <= out["n"] * filled * (out["low"] < 2)).all() and (out["more"] >= 0).all()
+    taken = (out["size"] * (out["low"] * out["n"] + out["more"])).sum()
+    assert abs(taken - (out["size"] * out["rate"] * out["n"]).sum()) <= max(s for s, _, _ in rows) + 1e-6
 
 
 @given(st.text(max_size=80), st.binary(max_size=300), st.one_of(st.none(), st.integers(-5, 1 << 60)))
