@@ -10,11 +10,13 @@ finds the other. What meets under a key passes the third prefix, then the whole
 Equal fingerprints are one node. A key's rows arrive sorted and are linked by a spanning
 forest, so the links written grow with the fingerprints and not with their pairs. Keys with
 very many fingerprints are first dealt out by the bytes of their other 32 bits, of which
-one at least is equal in any pair. Components are joined in tables, never on the driver.
+one at least is equal in any pair, and if need be by a second byte, which differs in one bit at most. Components are joined in tables, never on the driver.
 
-Edge cases: a null text has no words and fingerprint zero, linked like any other; a null id
-belongs to its component and never names one; repeated rows are each returned; an empty
-table gives an empty result.
+Edge cases: a null text has no words and fingerprint zero, linked like any other; a very long
+text is fingerprinted whole, 65,536 shingles at a time; ties between rows of one component go to
+the smallest id, and of equal ids to the first in place; a null id belongs to its component and
+never names one; repeated rows are each returned; an empty table gives an empty result; further
+columns, whatever their names, are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosslight.llm.components import components
-from mosslight.staging import stage
+from mosslight.staging import placed, stage
 
 SHINGLE, SEED, BITS, CROWDED, SMALL_RUN = 3, 42, 3, 4096, 16
 
@@ -71,13 +73,13 @@ def _segment(i: int) -> Column:
 
 
 def filed_and_sought(distinct: DataFrame) -> DataFrame:
-    """``key, fp, sought``: under each chain's 32 bits, and under those with one bit of the second segment cleared."""
+    """``key, fp, sought`` (0 or 1): under each chain's 32 bits, and under those with one bit of the second segment cleared."""
     rows = []
     for i in range(4):
         base, after = F.lit(i << 32).bitwiseOR(F.shiftleft(_segment(i), 16)), _segment(i + 1)
-        rows.append(F.struct(base.bitwiseOR(after).alias("key"), F.lit(False).alias("sought")))
+        rows.append(F.struct(base.bitwiseOR(after).alias("key"), F.lit(0).alias("sought")))
         for bit in range(16):
-            rows.append(F.when(after.bitwiseAND(F.lit(1 << bit)) != 0, F.struct(base.bitwiseOR(after.bitwiseXOR(F.lit(1 << bit))).alias("key"), F.lit(True).alias("sought"))))
+            rows.append(F.when(after.bitwiseAND(F.lit(1 << bit)) != 0, F.struct(base.bitwiseOR(after.bitwiseXOR(F.lit(1 << bit))).alias("key"), F.lit(1).alias("sought"))))
     return distinct.select("fp", F.explode(F.array(*rows)).alias("x")).where("x is not null").select("x.key", "fp", "x.sought")
 
 
@@ -119,46 +121,84 @@ def _linked(keys: np.ndarray, sub: np.ndarray, fps: np.ndarray, sought: np.ndarr
         at = np.flatnonzero(run[d:] == run[:-d]) if len(run) > d else np.empty(0, int)
         if not len(at):
             return
-        at = at[~(sought[at] & sought[at + d])]
+        at = at[(sought[at] & sought[at + d]) == 0]  # both sought in one way: some other chain or byte finds them
         x, y = fps[at], fps[at + d]
         near = _near(x, y, keys[at] >> 32) & (x != y)
         yield from zip(x[near].tolist(), y[near].tolist(), strict=True)
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []  # the batches' parts of a run that may go on; joined once, when it ends
 
-    def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+    def out() -> pa.RecordBatch:
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
         pairs = np.array(sorted(set(_linked(*cols))), dtype=np.uint64).reshape(-1, 2).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for b in batches:
-        cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64).view(np.uint64), b.column(3).to_numpy(zero_copy_only=False)]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        cols = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().astype(np.int64).view(np.uint64), b.column(3).to_numpy()]
         if not len(cols[0]):
             continue
-        last = int(np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])[-1])
-        held = [x[last:] for x in cols]
-        if last:
-            yield out([x[:last] for x in cols])
-    if held is not None:
-        yield out(held)
+        if held and (held[-1][0][-1] != cols[0][0] or held[-1][1][-1] != cols[1][0]):
+            yield out()
+        cuts = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+        if len(cuts):
+            held.append([x[: cuts[-1]] for x in cols])
+            yield out()
+        held.append([x[cuts[-1] if len(cuts) else 0 :] for x in cols])
+    if held:
+        yield out()
+
+
+def _byte(j: int) -> Column:
+    """Byte ``j`` of the 32 bits that follow the key's two segments, for the chain that the key starts."""
+    of = lambda i: F.shiftrightunsigned("fp", 8 * ((2 * i + 4 + j) % 8)).bitwiseAND(F.lit(0xFF))
+    return F.element_at(F.array(*[of(i) for i in range(4)]), F.shiftrightunsigned("key", 32).cast("int") + 1).cast("long")
+
+
+def _by_one_byte() -> Column:
+    """Places of a crowded key's row by each of its four other bytes: with three bits to differ in, one byte is equal."""
+    return F.array(*[F.struct(F.lit(j + 1).cast("long").alias("sub"), _byte(j).alias("byte"), F.lit(False).alias("again")) for j in range(4)])
+
+
+def _by_two_bytes() -> Column:
+    """Places of a row of a crowded (key, byte) by each of the three bytes left, of which one differs in one bit at most.
+
+    Filed under the byte itself, and sought under it with one bit cleared, as in the keys.
+    """
+    places = []
+    for first in range(4):
+        at = F.col("sub") == first + 1
+        for j in range(4):
+            if j == first:
+                continue
+            base = F.lit((first + 1) << 4 | (j + 1)).cast("long")
+            byte = F.col("byte") * 256 + _byte(j)
+            places.append(F.when(at, F.struct(base.alias("sub"), byte.alias("byte"), F.lit(False).alias("again"))))
+            places += [F.when(at & (_byte(j).bitwiseAND(F.lit(1 << bit)) != 0), F.struct(base.alias("sub"), (byte - (1 << bit)).alias("byte"), F.lit(True).alias("again"))) for bit in range(8)]
+    return F.filter(F.array(*places), lambda x: x.isNotNull())
 
 
 def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """``a, b``: true links that span every component of the fingerprints in ``distinct``."""
+    """``a, b``: true links that span every component of the fingerprints in ``distinct``.
+
+    Rows of a key with very many fingerprints are dealt out by one of its other bytes, and where
+    that is still very many by two: then 16 bits at most are free, which bounds what a task holds.
+    """
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = filed_and_sought(distinct.repartition(tasks))  # a small table that becomes 36 times as many rows
-    many = stage(rows.where(~F.col("sought")).groupBy("key").count().where(F.col("count") > crowded).select(F.col("key").alias("many_key")), "crowded")
-    if many.isEmpty():
-        dealt = rows.withColumn("sub", F.lit(-1))
-    else:
-        other = lambda i, j: F.shiftrightunsigned("fp", 8 * ((2 * i + 4 + j) % 8)).bitwiseAND(F.lit(0xFF))
-        byte = lambda j: F.lit(j << 8).bitwiseOR(F.element_at(F.array(*[other(i, j) for i in range(4)]), F.shiftrightunsigned("key", 32).cast("int") + 1)).cast("int")
-        subs = F.when(F.col("many_key").isNull(), F.array(F.lit(-1))).otherwise(F.array(*[byte(j) for j in range(4)]))
-        dealt = rows.join(many, F.col("key") == F.col("many_key"), "left").select("key", "fp", "sought", F.explode(subs).alias("sub"))
-    by_key = dealt.select("key", "sub", "fp", "sought").repartition("key", "sub").sortWithinPartitions("key", "sub", "fp")
+    rows = filed_and_sought(distinct.repartition(tasks)).withColumns({"sub": F.lit(0).cast("long"), "byte": F.lit(0).cast("long")})  # a small table that becomes 36 times as many rows
+    for places in (_by_one_byte(), _by_two_bytes()):
+        filed = rows.where("sought = 0").groupBy("key", "sub", "byte").count().where(F.col("count") > crowded)
+        many = stage(filed.select(F.col("key").alias("k"), F.col("sub").alias("s"), F.col("byte").alias("y"), F.lit(True).alias("many")), "crowded")
+        if many.isEmpty():
+            break
+        same = (F.col("key") == F.col("k")) & (F.col("sub") == F.col("s")) & (F.col("byte") == F.col("y"))
+        here = F.array(F.struct("sub", "byte", F.lit(False).alias("again")))
+        dealt = rows.join(many, same, "left").select("key", "fp", "sought", F.explode(F.when(F.col("many").isNull(), here).otherwise(places)).alias("x"))
+        rows = dealt.select("key", "fp", F.col("sought").bitwiseOR(F.when(F.col("x.again"), 2).otherwise(0)).alias("sought"), "x.sub", "x.byte")
+    run = F.shiftleft("sub", 16).bitwiseOR(F.col("byte")).alias("run")
+    by_key = rows.select("key", run, "fp", "sought").repartition("key", "run").sortWithinPartitions("key", "run", "fp")
     return by_key.mapInArrow(_link, "a long, b long")
 
 
@@ -182,12 +222,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, one for each component: that with the smallest id, and of rows with that id the first stored."""
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    stored = stage(numbered, "rows")
-    small = stored.select("row_id", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
+    """The rows of ``docs``, one for each component: that with the smallest id, and of rows with that id the one first in place.
+
+    Texts are shuffled once, by a join that sorts and can spill, whatever the size of either side.
+    """
+    numbered = placed(docs)
+    small = numbered.select("place_file", "place_row", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text_col}`").alias("text"))
     rows = stage(fingerprints(small, "text", shingle, seed), "fingerprints")
-    placed = rows.select("fp", "row_id", F.struct(F.col("id").isNull().alias("none"), "id", "row_id").alias("place"))
-    found = classes(placed.select("fp", "place"))
-    kept = found.select(F.col("first.row_id").alias("row_id")).distinct()
-    return stored.join(kept.hint("shuffle_hash"), "row_id").select("row.*")
+    found = classes(rows.select("fp", F.struct(F.col("id").isNull().alias("none"), "id", "place_file", "place_row").alias("place")))
+    kept = stage(found.select("first.place_file", "first.place_row").distinct(), "kept")
+    return numbered.join(kept.hint("merge"), ["place_file", "place_row"]).select("row.*")

@@ -55,9 +55,11 @@ def test_components_of_clusters_and_crowded_keys(spark):
             fps.add(y)
     tail = rng.getrandbits(32) << 32
     fps |= {tail | rng.getrandbits(32) for _ in range(300)} | {tail | rng.getrandbits(7) for _ in range(60)}
+    near = tail | 0x5A5A0000 | rng.getrandbits(4)
+    fps |= {near ^ (rng.getrandbits(8) << 8 * rng.randrange(2)) for _ in range(120)} | {near ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)}
     want = brute_components(fps)
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    for crowded in (20, 100_000):
+    for crowded in (4, 100_000):
         roots = {r["node"]: r["root"] for r in components(simhash.links(df, crowded)).collect()}
         label = {x: roots.get(signed(x), signed(x)) for x in fps}
         assert len(set(label.values())) == len(set(want.values()))
@@ -78,3 +80,23 @@ def test_near_duplicates_and_keep_one(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(first.values())
     assert simhash.keep_one(df).columns == df.columns
     assert simhash.near_duplicates(df.where(F.lit(False))).count() == 0
+
+
+def test_a_run_over_many_batches_is_linked_once_whole():
+    import pyarrow as pa
+
+    fps = [0, 1, 3, 1 << 40, (1 << 40) | 5, 1 << 63]
+    rows = [(7, 0, x, 0) for x in sorted(map(signed, fps))] + [(8, 0, signed(1 << 50), 0), (8, 1, signed(3 << 50), 0)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["key", "run", "fp", "sought"])
+    pairs = lambda size: {(a, b) for out in simhash._link(batch(rows[i : i + size]) for i in range(0, len(rows), size)) for a, b in zip(*out.to_pydict().values(), strict=True)}
+    assert pairs(1) == pairs(3) == pairs(100) != set()
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i % 5000}" for i in range(150_000))
+    assert simhash.fingerprint(long) % (1 << 64) == brute_fingerprint(long)
+    rows = [(i, t, i, "k") for i, t in enumerate([long, long, "other words here", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place_row int, row string").selectExpr("*", "1 as `a.b`", "2 as first", "3 as fp")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2, 3]
+    assert simhash.near_duplicates(df).count() == 4
