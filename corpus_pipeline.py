@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows of ``docs``. All but the last
 return the columns of ``docs``; a row that the mix takes twice comes twice. ``run`` writes
-every stage's result as Parquet to the shared work folder and reads it again for the next.
+every stage's result as Parquet to the shared work folder, reads it again for the next and then
+deletes what that has consumed.
 
 Nulls, empty and long texts, repeated rows and empty tables are handled as the operators say.
 Line deduplication may leave a text empty; the row stays, and near-deduplication then joins
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosslight.llm import line_dedup, mixing, packing, quality_rules, simhash
-from mosslight.staging import stage
+from mosslight.staging import release, stage, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines in later occurrences of repeated three-line windows go; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
     if "n_chars" not in docs.columns:
         return out
     kind = docs.schema["n_chars"].dataType
@@ -54,8 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage has consumed is deleted once its result is written."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name)
+        release(spark, mark)
     return docs
