@@ -5,10 +5,12 @@ encodes each of these by itself. Most of them recur; a cache of their ids is sev
 as fast as encoding every text anew. That split is repeated here for texts of ASCII and
 Latin-1 letters, which normalisation leaves alone; any other text is encoded whole, and so
 is a text that holds a special token literally, where the tokenizer gives that its own id.
+A tokenizer that splits or normalises in any other way encodes all texts whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -17,10 +19,24 @@ import numpy as np
 
 #: The tokenizer's split, written for lower-case text of the characters below.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+#: How a tokenizer file states that split, its normalisation and its word ends.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISERS = [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-Þß-öø-ÿ]")
 _CALL = 1000
 
 
+def _splits_as_here(spec: dict) -> bool:
+    """Whether a tokenizer file states the split, normalisation and word ends that ``_PARTS`` repeats."""
+    parts = lambda x, name: x.get(name, []) if x and x.get("type") == "Sequence" else []
+    regex = lambda x: (x.get("pattern") or {}).get("Regex")
+    normalisers = [(x["type"], regex(x), x.get("content")) for x in parts(spec.get("normalizer"), "normalizers")]
+    split, *rest = parts(spec.get("pre_tokenizer"), "pretokenizers") or [{}]
+    plain = [x for x in rest if x.get("type") != "ByteLevel" or x.get("add_prefix_space") or x.get("use_regex")]
+    alone = split.get("type") == "Split" and regex(split) == _SPLIT and split.get("behavior") == "Removed" and split.get("invert") is True
+    return alone and not plain and len(rest) == 1 and normalisers == _NORMALISERS and (spec.get("model") or {}).get("end_of_word_suffix") == "</w>" and not spec.get("post_processor")
+
+
 class WordTokens:
     """``encode`` gives the ids of each text as little-endian unsigned 32-bit integers.
 
@@ -33,6 +49,8 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self._by_words = _splits_as_here(json.load(f))
         self._tokenizer.encode_special_tokens = special_as_text
         self._special = () if special_as_text else tuple(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
         self._limit, self._cache = cache_words, {}
@@ -52,7 +70,7 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a batch should be some hundred texts, as its new words are learned together."""
-        split = [None if _OTHER.search(t) or any(s in t for s in self._special) else _PARTS.findall(t.lower()) for t in texts]
+        split = [None if not self._by_words or _OTHER.search(t) or any(s in t for s in self._special) else _PARTS.findall(t.lower()) for t in texts]
         get = self._cache.get
         found = [None if x is None else list(map(get, x)) for x in split]
         missing = [i for i, x in enumerate(found) if x is not None and None in x]

@@ -18,12 +18,12 @@ def test_any_bytes_survive_the_picture(raws):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 300), min_size=1, max_size=60), st.sampled_from([16, 64]))
 def test_packing_covers_each_token_once_in_the_fewest_sequences(lengths, capacity):
-    parts = packing.assign(np.array(lengths), capacity)
-    tokens = sorted((d, s + i) for d, s, n, _, _ in parts for i in range(n))
+    parts, tail = packing.assign(np.array(lengths), capacity)
+    tokens = sorted((d, s + i) for d, s, n, *_ in [*parts, *tail] for i in range(n))
     assert tokens == [(d, i) for d, n in enumerate(lengths) for i in range(n)]
     places = [(q, o + i) for _, _, n, q, o in parts for i in range(n)]
-    assert len(set(places)) == len(places) and all(o < capacity for _, o in places)
-    assert len({q for q, _ in places}) == -(-sum(lengths) // capacity)
+    assert sorted(places) == [(q, o) for q in range(sum(lengths) // capacity) for o in range(capacity)]
+    assert sum(n for _, _, n in tail) == sum(lengths) % capacity
 
 
 @settings(max_examples=60, deadline=None)
