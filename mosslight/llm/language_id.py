@@ -3,32 +3,39 @@
 A text's subwords are all 2-, 3- and 4-byte windows of its lower-case UTF-8 form, hashed to
 ``BUCKETS``. Their embeddings are averaged over the whole text and a linear softmax gives the
 languages. The model is trained by stochastic gradient descent in numpy on the driver, from
-a bounded sample (``PER_LANG`` documents of each language in expectation, of ``LONGEST`` bytes
-at most). For prediction, embedding and softmax weights are multiplied out to one score for
-each bucket and language, a table of fixed size that all tasks get.
+a bounded sample: at most ``PER_LANG`` documents of each language and about ``MOST`` of all, but
+never fewer than ``FLOOR`` of a language that has them. A sampled document is learned from whole,
+however long, as counts of its buckets, and by ``SNIPPETS`` short windows from anywhere in it;
+both are made on the executors. For prediction, embedding and softmax weights are multiplied
+out to one score for each bucket and language, a table that all tasks get.
 
 Scores are calibrated with a temperature fitted on sampled documents that training didn't
 see. A prediction is accepted if its score reaches the threshold above which ``PRECISION``
 of those documents were right; rejected ones still carry their most likely language.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; so is every text if
-there is nothing to learn from; repeated rows are predicted alike; an empty table gives an
-empty result; only id, text and (for the sample) language are looked at.
+there is nothing to learn from; a very long text is predicted from all of its windows, some
+at a time; of languages with equal scores the first by code point is predicted; repeated rows
+are predicted alike; an empty table gives an empty result; only id, text and (for the sample)
+language are looked at, whatever other columns are named.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosslight.staging import stage
+
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (2, 3, 4)
-PER_LANG, MOST, LONGEST, EPOCHS, SNIPPETS, PRECISION = 500, 8000, 65_536, 4, 4, 0.995
+PER_LANG, MOST, FLOOR, EPOCHS, SNIPPETS, PRECISION = 500, 4000, 20, 4, 3, 0.995
 WINDOW = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = b"   "
@@ -85,9 +92,38 @@ def averages(texts: list[str], scores: np.ndarray) -> np.ndarray:
     return total / np.maximum(count, 1)[:, None]
 
 
-def train(samples: list[tuple[str, str]], seed: int = 7) -> Model | None:
-    """Fit on (text, language) pairs; every tenth is kept for calibration."""
-    langs = sorted({lang for _, lang in samples})
+@dataclass
+class Sample:
+    """A document to learn from: its language, the buckets of its whole text with their counts, and short windows of it."""
+
+    lang: str
+    found: np.ndarray
+    counts: np.ndarray
+    windows: list[bytes]
+
+    @classmethod
+    def of(cls, lang: str, text: str) -> Sample:
+        """Windows are drawn by a generator seeded with the text: two of 15 and 60 bytes to calibrate with, then those to learn from."""
+        raw = _PAD + text.lower().encode("utf-8", "surrogatepass") + _PAD
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for a in range(0, len(raw), WINDOW):
+            part = raw[a : a + WINDOW + 3]
+            for h in buckets(np.frombuffer(part if a + WINDOW + 3 <= len(raw) else part + _PAD[: a + WINDOW + 3 - len(raw)], dtype=np.uint8)):
+                total += np.bincount(h, minlength=BUCKETS)
+        rng = np.random.default_rng(zlib.crc32(raw))
+        sizes = [15, 60, *(int(n) for n in rng.integers(12, 240, SNIPPETS))]
+        starts = [int(rng.integers(0, max(1, len(raw) - n))) for n in sizes]
+        found = np.flatnonzero(total)
+        return cls(lang, found, total[found], [raw[a : a + max(n, 8)] for a, n in zip(starts, sizes, strict=True)])
+
+
+def _counted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(buckets(np.frombuffer(raw, dtype=np.uint8))), return_counts=True)
+
+
+def train(samples: list[Sample], seed: int = 7) -> Model | None:
+    """Fit on the samples; every tenth is kept for calibration."""
+    langs = sorted({x.lang for x in samples})
     if not langs:
         return None
     rng, label = np.random.default_rng(seed), {x: i for i, x in enumerate(langs)}
@@ -96,19 +132,16 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model | None:
     emb, w, b = rng.normal(0, 0.05, (BUCKETS, WIDTH)), np.zeros((WIDTH, len(langs))), np.zeros(len(langs))
     w += rng.normal(0, 0.05, w.shape)
     units = []
-    for text, lang in fit:
-        raw = _PAD + text.lower().encode("utf-8", "surrogatepass") + _PAD
-        for s in range(SNIPPETS):
-            n = int(rng.integers(12, 240)) if s else 600
-            a = int(rng.integers(0, max(1, len(raw) - n)))
-            units.append((np.concatenate(buckets(np.frombuffer(raw[a : a + max(n, 8)], dtype=np.uint8))), label[lang]))
+    for x in fit:
+        for h, n in [(x.found, x.counts), *(_counted(raw) for raw in x.windows[2:])]:
+            units.append((h, n / n.sum(), label[x.lang]))
     steps, done = EPOCHS * len(units), 0
     for _ in range(EPOCHS):
         for u in rng.permutation(len(units)).tolist():
-            h, y = units[u]
+            h, share, y = units[u]
             rate = 0.5 * (1 - done / steps)
             done += 1
-            mean = emb[h].mean(axis=0)
+            mean = share @ emb[h]
             z = mean @ w + b
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -116,11 +149,11 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model | None:
             back = w @ p
             w -= rate * np.outer(mean, p)
             b -= rate * p
-            emb[np.unique(h)] -= (8 * rate / len(np.unique(h))) * back
+            emb[h] -= (8 * rate / len(h)) * back
     model = Model(langs, (emb @ w).astype(np.float32), b, 1.0, 0.0)
-    short = [(t[a : a + n], lang) for t, lang in check for n in (15, 60) for a in [int(rng.integers(0, max(1, len(t) - n)))]]
-    z = averages([t for t, _ in check + short], model.scores) + b
-    y = np.array([label[x] for _, x in check + short])
+    seen = [(h, n / n.sum(), x.lang) for x in check for h, n in [(x.found, x.counts), *(_counted(raw) for raw in x.windows[:2])]]
+    z = np.array([share @ model.scores[h].astype(np.float64) for h, share, _ in seen]) + b
+    y = np.array([label[lang] for *_, lang in seen])
     doubt = 1 / (len(y) + 2)  # as if one more had been wrong: a clean sample is no proof of certainty
 
     def loss(t: float) -> float:
@@ -141,20 +174,35 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, longest: int = LONGEST) -> list[tuple[str, str]]:
-    """(text, language) of about ``per_lang`` documents of each language, chosen by a hash of the id.
+def sample(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, most: int = MOST, floor: int = FLOOR) -> list[Sample]:
+    """The documents to learn from, chosen by a hash of the id.
 
-    The languages' counts decide the rates, so the sample's size doesn't grow with the corpus.
+    The languages' counts, joined to their documents, decide how many are drawn; half as many
+    again are, and the surplus goes. So the sample doesn't grow with the corpus, and a rare
+    language isn't lost among many.
     """
-    usable = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang_col)).count().collect()}
-    if not counts:
+    text = F.col(text_col).cast("string")
+    usable = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("draw"), text.alias("text"))
+    counts = stage(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    n_langs = counts.count()
+    if not n_langs:
         return []
-    per_lang = max(1, min(per_lang, MOST // len(counts)))
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1 << 40, (per_lang << 40) // v))]), F.col(lang_col))
-    rows = usable.where((draw < rate) & (F.octet_length(F.col(text_col)) <= longest)).select(F.col(id_col), F.col(lang_col), F.col(text_col)).collect()
-    return [(r[2], r[1]) for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2]))]
+    wanted = max(floor, min(per_lang, most // n_langs))
+    rates = counts.select(F.col("lang").alias("counted"), F.least(F.lit(1.0), F.lit(1.5 * wanted + 10) / F.col("n")).alias("rate"))
+    near = F.pmod("draw", F.lit(1 << 40)) < F.col("rate") * F.lit(float(1 << 40))
+    by = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 40)), "draw", F.xxhash64("text"), "text")
+    drawn = usable.join(rates, F.col("lang") == F.col("counted")).where(near).withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, nth, value in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = Sample.of(lang, value)
+                kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()))
+                row = (lang, nth, x.found.astype("<i4").tobytes(), x.counts.astype("<i8").tobytes(), x.windows)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["lang", "nth", "found", "counts", "windows"])
+
+    rows = drawn.select("lang", "nth", "text").mapInArrow(run, "lang string, nth int, found binary, counts binary, windows array<binary>").collect()
+    return [Sample(r["lang"], np.frombuffer(r["found"], "<i4"), np.frombuffer(r["counts"], "<i8"), list(r["windows"])) for r in sorted(rows, key=lambda r: (r["nth"], r["lang"]))]
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
