@@ -66,7 +66,21 @@ class Picture:
 
 
 def parse(data: bytes) -> Picture:
-    """Markers up to the scan; raises ValueError for what isn't a baseline file of one scan."""
+    """Markers up to the scan; raises ValueError for what isn't a whole baseline file of one scan."""
+    try:
+        found = _markers(data)
+    except (IndexError, KeyError, TypeError) as e:
+        raise ValueError("the file is cut short or a table is missing") from e
+    if not found.components or any(c.h == 0 or c.v == 0 or c.quant not in found.quants for c in found.components.values()):
+        raise ValueError("the frame or a table is missing")
+    if len(found.order) != len(found.components):
+        raise ValueError("not a baseline file of one scan")
+    if not found.width or not found.height:
+        raise ValueError("the picture has no size")
+    return found
+
+
+def _markers(data: bytes) -> Picture:
     if data[:2] != b"\xff\xd8":
         raise ValueError("no SOI marker")
     p, at, tables = Picture(), 2, {}
@@ -278,8 +292,13 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return files
 
 
-def payload(picture: Picture) -> bytes:
-    """The bytes that ``encode`` stored in a picture."""
-    n = int(picture.comment.removeprefix(b"payload="))
-    values = picture.blocks[0].reshape(-1)[:n]
+def payload(picture: Picture) -> bytes | None:
+    """The bytes that ``encode`` stored in a picture; None if it comes from elsewhere."""
+    mark = re.fullmatch(rb"payload=(\d+)", picture.comment)
+    values = picture.blocks[0].reshape(-1)
+    if not mark or int(mark[1]) > len(values):
+        return None
+    values = values[: int(mark[1])]
+    if (values == 0).any() or (np.abs(values) > 255).any():
+        return None
     return np.where(values > 0, values, values + 255).astype(np.uint8).tobytes()

@@ -1,8 +1,11 @@
 """Media columns: whole texts stored as baseline JPEG files, read back and described.
 
-Edge cases: a null text is empty and stored as one block of zeros; rows are stored each for
-itself and equal texts alike; an empty table gives an empty result; other columns are ignored.
-Files are coded some megabytes at a time, so memory follows the longest text and not the batch.
+Edge cases: a null text is empty and stored as one block of zeros; a very long text is one
+picture, files being coded some megabytes at a time, so memory follows the longest text and not
+the batch; rows are stored each for itself and equal texts alike; an empty table gives an empty
+result; other columns, whatever their names, are ignored. Pictures that aren't from ``store``
+are described without payload columns. A null picture has null columns and no error; one that
+is no baseline file or is cut short has its size and digest, null columns and an ``error``.
 """
 
 from __future__ import annotations
@@ -59,32 +62,51 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
+def _read(files: list[bytes | None]) -> list[tuple[jpeg.Picture | None, str | None]]:
+    """Each file's picture or what is wrong with it; one bad file costs its neighbours a second reading."""
+    given = [i for i, f in enumerate(files) if f is not None]
+    out: list[tuple[jpeg.Picture | None, str | None]] = [(None, None)] * len(files)
+    try:
+        for i, p in zip(given, jpeg.decode([files[i] for i in given]), strict=True):
+            out[i] = p, None
+    except ValueError as e:
+        if len(given) == 1:
+            out[given[0]] = None, str(e)
+        else:
+            half = given[len(given) // 2]
+            out = [*_read(files[:half]), *_read(files[half:])]
+    return out
+
+
 def describe(stored: DataFrame) -> DataFrame:
-    """Features of the files in ``media``, from the decoded bytes: digests, dimensions, thumbnail and its hash."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumbnail binary, thumbnail_hash string"
+    """Features of the files in ``media``, from the decoded bytes: digests, dimensions, thumbnail, its hash, and what is wrong."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, width int, height int, thumbnail binary, thumbnail_hash string, error string"
+    each = lambda f, xs: [None if x is None else f(x) for x in xs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             media = b.column(2).to_pylist()
-            for a, z in _chunks(media):
-                pictures = jpeg.decode(media[a:z])
-                payloads = [jpeg.payload(p) for p in pictures]
-                thumbs = [p.luminance() for p in pictures]
+            for a, z in _chunks([x or b"" for x in media]):
+                found = _read(media[a:z])
+                pictures = [p for p, _ in found]
+                payloads = each(jpeg.payload, pictures)
+                thumbs = each(lambda p: p.luminance(), pictures)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0)[a:z],
                         b.column(1)[a:z],
-                        pa.array([len(x) for x in payloads], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in payloads]),
-                        pa.array([zlib.crc32(x[-jpeg.BLOCK :]) for x in payloads], pa.int64()),
-                        pa.array([len(x) for x in media[a:z]], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in media[a:z]]),
-                        pa.array([p.width for p in pictures], pa.int32()),
-                        pa.array([p.height for p in pictures], pa.int32()),
-                        pa.array([t.tobytes() for t in thumbs], pa.binary()),
-                        pa.array([thumbnail_hash(t) for t in thumbs]),
+                        pa.array(each(len, payloads), pa.int64()),
+                        pa.array(each(lambda x: hashlib.sha256(x).hexdigest(), payloads), pa.string()),
+                        pa.array(each(lambda x: zlib.crc32(x[-jpeg.BLOCK :]), payloads), pa.int64()),
+                        pa.array(each(len, media[a:z]), pa.int64()),
+                        pa.array(each(lambda x: hashlib.sha256(x).hexdigest(), media[a:z]), pa.string()),
+                        pa.array(each(lambda p: p.width, pictures), pa.int32()),
+                        pa.array(each(lambda p: p.height, pictures), pa.int32()),
+                        pa.array(each(lambda t: t.tobytes(), thumbs), pa.binary()),
+                        pa.array(each(thumbnail_hash, thumbs), pa.string()),
+                        pa.array([e for _, e in found], pa.string()),
                     ],
                     names=[x.split()[0] for x in schema.split(", ")],
                 )
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return stored.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), F.col("media").cast("binary")).mapInArrow(run, schema)

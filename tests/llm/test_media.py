@@ -98,6 +98,19 @@ def test_decoder_on_subsampled_colour(restart):
         assert (p.luminance() == np.clip(np.rint(luma[:, :, 0] * 2 / 8 + 128), 0, 255)).all()
 
 
+def test_pictures_from_elsewhere(spark):
+    good = jpeg.encode([bytes(range(64)) * 3])[0]
+    progressive = good.replace(b"\xff\xc0", b"\xff\xc2", 1)
+    foreign = good.replace(b"payload=192", b"holiday 192", 1)
+    cases = {1: good, 2: None, 3: foreign, 4: progressive, 5: good[:90], 6: good[:-40], 7: b"GIF89a", 8: b"", 9: b"\xff\xd8\xff", 10: good, 11: good.replace(b"payload=192", b"payload=999", 1)}
+    df = spark.createDataFrame([(i, 192, bytearray(m) if m is not None else None, "x") for i, m in cases.items()], "doc_id long, n_bytes long, media binary, error string").coalesce(1)
+    got = {r.doc_id: r for r in media.describe(df).collect()}
+    assert [i for i in cases if got[i].payload_sha256] == [1, 10] and got[1].payload_bytes == 192
+    assert [i for i in cases if got[i].error] == [4, 5, 6, 7, 8, 9] and "baseline" in got[4].error
+    assert got[2].media_bytes is None and got[2].error is None and got[4].media_sha256 == hashlib.sha256(progressive).hexdigest()
+    assert [(got[i].width, got[i].thumbnail_hash) for i in (3, 11)] == [(got[1].width, got[1].thumbnail_hash)] * 2 and got[4].width is None
+
+
 def test_round_trip_of_all_bytes():
     rng = np.random.default_rng(1)
     payloads = [bytes(64), b"\xff" * 640, bytes(range(256)), rng.integers(0, 256, 64 * 137, dtype=np.uint8).tobytes()]
