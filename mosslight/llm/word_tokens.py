@@ -22,7 +22,8 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9
 #: How a tokenizer file states that split, its normalisation and its word ends.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALISERS = [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-Þß-öø-ÿ]")
+#: Latin-1 bytes of the characters that are split here.
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 _CALL = 1000
 
 
@@ -68,9 +69,17 @@ class WordTokens:
             for part, b in zip(call, cuts, strict=True):
                 self._cache[part], a = raw[a:b], b
 
+    def _split(self, text: str) -> list[str] | None:
+        """The parts that are encoded each by itself; None for a text that must be encoded whole."""
+        try:
+            other = not self._by_words or text.encode("latin-1").translate(None, _PLAIN)
+        except UnicodeEncodeError:
+            return None
+        return None if other or any(s in text for s in self._special) else _PARTS.findall(text.lower())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a batch should be some hundred texts, as its new words are learned together."""
-        split = [None if not self._by_words or _OTHER.search(t) or any(s in t for s in self._special) else _PARTS.findall(t.lower()) for t in texts]
+        split = [self._split(t) for t in texts]
         get = self._cache.get
         found = [None if x is None else list(map(get, x)) for x in split]
         missing = [i for i, x in enumerate(found) if x is not None and None in x]
