@@ -16,9 +16,15 @@ what another has returned, whatever order its rows came in; files of attempts th
 not referred to. Paths are URIs: local or shared folders are used through the operating
 system, others through pyarrow.fs.
 
-Edge cases: null html is an empty payload; a null URL has the empty key; a null id sorts
-after all ids; rows that repeat id and payload are captures of their own and of equal type;
-an empty table gives an empty result; other columns are ignored.
+Record ids are unique, also of rows that repeat a page: they name the archive, which has a name
+of its own for each attempt, and the record's number in it. A page's id is a field of its own,
+``Page-ID``, and a revisit names the response's page and URL. ``WARC-Date`` is a constant, as
+the pages have no date. Archives are written record by record.
+
+Edge cases: null html is an empty payload; a very long payload is one record, held whole by
+itself; a null URL has the empty key; a null id sorts after all ids; of pages tied in payload the
+smallest id is the response, and rows that repeat id and payload are captures of their own and
+of equal type; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +37,9 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from itertools import chain
+from typing import BinaryIO
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -74,20 +83,32 @@ class Store:
 
             self._fs, self._root = fs.FileSystem.from_uri(uri)
 
+    @contextmanager
+    def writing(self, name: str) -> Iterator[BinaryIO]:
+        """A file to write to, which has its name once it is whole; after a failure it is gone."""
+        local = self._local is not None
+        root = self._local if local else self._root
+        temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
+        if local:
+            os.makedirs(root, exist_ok=True)
+        else:
+            self._fs.create_dir(root, recursive=True)
+        try:
+            with open(temporary, "wb") if local else self._fs.open_output_stream(temporary) as f:
+                yield f
+            if local:
+                os.replace(temporary, f"{root}/{name}")
+            else:
+                self._fs.move(temporary, f"{root}/{name}")
+        except BaseException:
+            with suppress(OSError):
+                os.unlink(temporary) if local else self._fs.delete_file(temporary)
+            raise
+
     def write(self, name: str, data: list[bytes]) -> None:
-        if self._local is not None:
-            os.makedirs(self._local, exist_ok=True)
-            temporary = f"{self._local}/.{name}.{uuid.uuid4().hex}"
-            with open(temporary, "wb") as f:
-                f.writelines(data)
-            os.replace(temporary, f"{self._local}/{name}")
-            return
-        self._fs.create_dir(self._root, recursive=True)
-        temporary = f"{self._root}/.{name}.{uuid.uuid4().hex}"
-        with self._fs.open_output_stream(temporary) as f:
+        with self.writing(name) as f:
             for x in data:
                 f.write(x)
-        self._fs.move(temporary, f"{self._root}/{name}")
 
     def read(self, name: str, offset: int = 0, length: int | None = None) -> bytes:
         f = self._open.get(name)
@@ -108,21 +129,26 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, revisit_of: int | None, is_revisit: bool) -> bytes:
-    """One record: a response with the payload, or a revisit whose HTTP header keeps the payload's length."""
+def record(page_id: int | None, url: str | None, payload: bytes, first: tuple[int | None, str | None] | None, name: str) -> bytes:
+    """One record: a response with the payload, or a revisit of page and URL ``first`` whose HTTP header keeps the payload's length.
+
+    ``name`` tells the record from all others.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    body = http if is_revisit else http + payload
+    body = http if first else http + payload
+    address = lambda x: re.sub(r"[\x00-\x20]+", " ", x or "")
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Type: {'revisit' if first else 'response'}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
         "WARC-Date: 2026-01-01T00:00:00Z",
-        f"WARC-Target-URI: {re.sub(r'[\x00-\x20]+', ' ', url or '')}",
+        f"WARC-Target-URI: {address(url)}",
         f"WARC-Payload-Digest: sha1:{digest(payload)}",
         "Content-Type: application/http; msgtype=response",
+        f"Page-ID: {'' if page_id is None else page_id}",
     ]
-    if is_revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{revisit_of}>"]
+    if first:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {address(first[1])}", "WARC-Refers-To-Date: 2026-01-01T00:00:00Z", f"Refers-To-Page-ID: {first[0]}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -138,49 +164,53 @@ def parse_record(data: bytes) -> dict[str, object]:
     first, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
     if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields: dict[str, object] = dict(x.split(": ", 1) for x in lines if ": " in x)
+    fields: dict[str, object] = dict(x.split(": ", 1) for x in lines if ": " in x)  # an empty value keeps its blank
     body = rest[: int(fields["Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
     length = int(re.search(rb"(?i)\r\ncontent-length: (\d+)", http)[1])
     return fields | {"body": body, "payload": payload, "length": length}
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 0) -> DataFrame:
-    """``revisit_digest, first_id``: for payloads of ``least`` bytes that several ids share, the smallest id.
+def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
+    """``revisit_digest, first_id, first_url``: for payloads of ``least`` bytes that several ids share, the smallest id and its URL.
 
     Ids are combined before the shuffle, so a payload that a third of all pages share costs a
     row for each task.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    hashed = pages.select(F.col(id_col).alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
-    same = hashed.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n"), F.count("id").alias("n_ids"))
-    return same.where((F.col("first_id") != F.col("last_id")) | (F.col("n_ids") > 0) & (F.col("n_ids") < F.col("n"))).select(F.col("digest").alias("revisit_digest"), "first_id")
+    hashed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= least)
+    same = hashed.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "url")).alias("first"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n"), F.count("id").alias("n_ids"))
+    return same.where((F.col("first_id") != F.col("last_id")) | (F.col("n_ids") > 0) & (F.col("n_ids") < F.col("n"))).select(F.col("digest").alias("revisit_digest"), "first_id", F.col("first.url").alias("first_url"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
     """Write one archive for each partition of ``pages``; return the captures (a stored table)."""
-    shared = stage(revisits(pages, id_col, html_col, least), "revisits")
+    shared = stage(revisits(pages, id_col, url_col, html_col, least), "revisits")
     keyed = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), F.sha1(F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")).alias("digest"))
     if shared.isEmpty():
-        typed = keyed.select("page_id", "url", "html", F.lit(None).cast("long").alias("first_id"))
+        typed = keyed.select("page_id", "url", "html", F.lit(None).cast("long").alias("first_id"), F.lit(None).cast("string").alias("first_url"))
     else:
-        typed = keyed.join(shared, F.col("digest") == F.col("revisit_digest"), "left").select("page_id", "url", "html", "first_id")
+        typed = keyed.join(shared, F.col("digest") == F.col("revisit_digest"), "left").select("page_id", "url", "html", "first_id", "first_url")
+
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, rows, at, name = [], [], 0, None
-        for b in batches:
-            for page_id, url, html, first, task in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                name = name or f"part-{task:06d}-{uuid.uuid4().hex}.warc.gz"
-                is_revisit = first is not None and page_id != first
-                member = gzip_member(record(page_id, url, html.encode("utf-8", "surrogatepass"), first, is_revisit))
-                members.append(member)
-                rows.append((re.sub(r"[\t\n]", "%20", url_key(url)), page_id, name, at, len(member)))
-                at += len(member)
-        if rows:
-            store = Store(folder)
-            store.write(name, members)
-            members.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["key", "page_id", "archive", "offset", "length"])
+        batches = (b for b in batches if b.num_rows)
+        first_batch = next(batches, None)
+        if first_batch is None:
+            return
+        name, at, n = f"part-{first_batch.column(5)[0].as_py():06d}-{uuid.uuid4().hex}.warc.gz", 0, 0
+        with Store(folder).writing(name) as f:
+            for b in chain([first_batch], batches):
+                rows = []
+                for i in range(b.num_rows):
+                    page_id, url, html, first, first_url = (b.column(c)[i].as_py() for c in range(5))
+                    revisit = (first, first_url) if first is not None and page_id != first else None
+                    member = gzip_member(record(page_id, url, html.encode("utf-8", "surrogatepass"), revisit, f"{name}#{n}"))
+                    f.write(member)
+                    rows.append((re.sub(r"[\t\n]", "%20", url_key(url)), page_id, name, at, len(member)))
+                    at, n = at + len(member), n + 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "page_id", "archive", "offset", "length"])
 
     return stage(typed.withColumn("task", F.spark_partition_id()).mapInArrow(run, CAPTURE), "captures")
 
@@ -275,12 +305,12 @@ def read_back(directory: DataFrame, folder: str, wanted: DataFrame) -> DataFrame
     def records(store: Store, found: Iterator[tuple[str, int, int]]) -> Iterator[tuple]:
         for archive, offset, length in found:
             r = parse_record(zlib.decompress(store.read(archive, offset, length), wbits=31))
-            refers = r.get("WARC-Refers-To")
+            refers = r.get("Refers-To-Page-ID")
             own = digest(r["payload"]) if refers is None else r["WARC-Payload-Digest"].removeprefix("sha1:")
             if refers is None and (own != r["WARC-Payload-Digest"].removeprefix("sha1:") or len(r["payload"]) != r["length"]):
                 raise ValueError(f"record at {archive}:{offset} is damaged")
-            number = re.fullmatch(r"<urn:page:(-?\d*)>", r["WARC-Record-ID"])[1]
-            yield int(number) if number else None, r["length"], own, r["WARC-Type"], int(re.fullmatch(r"<urn:page:(-?\d+)>", refers)[1]) if refers else None
+            number = r["Page-ID"].strip()
+            yield int(number) if number else None, r["length"], own, r["WARC-Type"], int(refers) if refers else None
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())

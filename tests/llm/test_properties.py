@@ -41,7 +41,7 @@ def test_copies_stay_next_to_rates_and_near_the_words_owed(rows):
 
 @given(st.text(max_size=80), st.binary(max_size=300), st.one_of(st.none(), st.integers(-5, 1 << 60)))
 def test_records_read_back(url, payload, page_id):
-    r = warc.parse_record(warc.record(page_id, url.encode("utf-8", "ignore").decode(), payload, None, False))
+    r = warc.parse_record(warc.record(page_id, url.encode("utf-8", "ignore").decode(), payload, None, "a#0"))
     assert r["payload"] == payload and r["length"] == len(payload) and r["WARC-Payload-Digest"] == "sha1:" + warc.digest(payload)
     assert isinstance(warc.url_key(url), str)
 

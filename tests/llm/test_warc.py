@@ -21,8 +21,8 @@ def test_url_key():
 
 def test_record_round_trip():
     for revisit in (False, True):
-        r = warc.parse_record(zlib.decompress(warc.gzip_member(warc.record(7, "http://a/\r\nX: y", "é\r\n\r\nz".encode(), 3, revisit)), wbits=31))
-        assert r["length"] == 7 and r["WARC-Record-ID"] == "<urn:page:7>" and "X" not in r
+        r = warc.parse_record(zlib.decompress(warc.gzip_member(warc.record(7, "http://a/\r\nX: y", "é\r\n\r\nz".encode(), (3, "http://b/") if revisit else None, "a#1")), wbits=31))
+        assert r["length"] == 7 and r["Page-ID"] == "7" and "X" not in r and r.get("WARC-Refers-To-Target-URI") == ("http://b/" if revisit else None)
         assert r["payload"] == (b"" if revisit else "é\r\n\r\nz".encode())
 
 
@@ -44,3 +44,27 @@ def test_pages_with_shared_payloads_and_urls(spark):
     got = sorted(str(tuple(r)) for r in warc.archive_pages(df).collect())
     assert got == sorted(expected(i, html) for i, _, html, _ in rows)
     assert warc.archive_pages(df.where(F.lit(False))).count() == 0
+
+
+def test_archives_hold_each_record_once_under_an_id_of_its_own(spark, tmp_path):
+    rows = [(3, "http://a/", "same"), (3, "http://a/", "same"), (5, "http://b/", "same"), (6, "http://c/", "x" * 3_000_000), (7, "http://c/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'k' as key", "1 as digest", "2 as task", "3 as first_id").repartition(2)
+    assert warc.archive_pages(df, str(tmp_path)).count() == len(rows)
+    found, held = [], []
+    for path in tmp_path.glob("part-*.warc.gz"):
+        data = path.read_bytes()
+        while data:
+            d = zlib.decompressobj(wbits=31)
+            found.append(warc.parse_record(d.decompress(data)))
+            data = d.unused_data
+    assert len({r["WARC-Record-ID"] for r in found}) == len(found) == len(rows) and not list(tmp_path.glob(".*"))
+    revisit = [r for r in found if r["WARC-Type"] == "revisit"]
+    assert [(r["Page-ID"], r["Refers-To-Page-ID"], r["WARC-Refers-To-Target-URI"]) for r in revisit] == [("5", "3", "http://a/")]
+    store = warc.Store(str(tmp_path))
+    try:
+        with store.writing("broken") as f:
+            f.write(b"part")
+            raise OSError("lost")
+    except OSError as e:
+        held.append(str(e))
+    assert held == ["lost"] and not list(tmp_path.glob("*broken*"))
