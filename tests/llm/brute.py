@@ -24,13 +24,13 @@ def dedup_lines(docs):
     for i, text in docs:
         lines = [] if text is None else [(at, x.strip(" \t\n\x0b\x0c\r")) for at, x in enumerate(text.split("\n"))]
         filled.append([(at, x) for at, x in lines if x])
-    order = sorted(range(len(docs)), key=lambda r: (docs[r][0] is not None, docs[r][0] or 0))
+    order = sorted(range(len(docs)), key=lambda r: (docs[r][0] is not None, docs[r][0] or 0, r))
     for r in order:
         for k in range(len(filled[r]) - 2):
             win = tuple(x for _, x in filled[r][k : k + 3])
-            if win in seen and seen[win] != (docs[r], k):
+            if win in seen:
                 gone[r] |= {filled[r][j][0] for j in range(k, k + 3)}
-            seen.setdefault(win, (docs[r], k))
+            seen.setdefault(win, (r, k))
     return [None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in gone[r]) for r, (_, t) in enumerate(docs)]
 
 

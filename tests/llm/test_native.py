@@ -60,7 +60,8 @@ def test_line_dedup(spark):
             lines[at:at] = passage[: rng.randint(2, 4)] + [""] + passage[-1:]
         docs.append((i, "\n".join(lines)))
     docs += [(100, "a\na\na\na\na"), (101, None), (102, ""), (103, "\n".join(passage)), (104, "\n".join(passage)), (104, "\n".join(passage)), (None, "\n".join(passage)), (105, "x\n\n \ny\nz"), (106, "y\nx\ny\nz")]
-    df = spark.createDataFrame([(i, t, "s", 3) for i, t in docs], "doc_id long, text string, source string, covered int")
+    docs += [(200, "\n".join(f"l{i}" for i in range(60_000))), (201, "\n".join(f"l{i}" for i in range(59_000, 60_000)))]
+    df = spark.createDataFrame([(i, t, "s", 3, 4) for i, t in docs], "doc_id long, text string, source string, covered int, place_row int")
     got = line_dedup.dedup_lines(df)
     assert got.columns == [*df.columns, "n_lines", "n_removed"]
     key = lambda r: (str(r[0]), str(r[1]))
