@@ -14,11 +14,13 @@ from mosslight.functions.lets import let
 DECISION_PATH = r"(?:^|/)decisions/(\d{4})-[^/]+\.(?i:md)$"
 WORK_LOG = r"(^|/)tasks/"
 FENCED = r"(?m)^[^\S\n]{0,3}(```|~~~)[^\n]*$(?s:.*?)(?:^[^\S\n]{0,3}\1[^\n]*$|\z)"
-INLINE_CODE = r"(`+)(?:(?!\1).)*?\1"
+INLINE_CODE = r"(`+).*?\1"
 WIKILINK = r"\[\[([^\]\[|#]+)(?:[|#][^\]\[]*)?\]\]"
-MARKDOWN_LINK = r"\[[^\]]*\]\(([^)\s]+?\.md)(?:#[^)\s]*)?\)"
-BARE_PATH = r"(?<![\w./-])((?:[A-Za-z0-9._-]+/)+[A-Za-z0-9._-]+\.md)\b"
-CITATION = r"(?i)\b(?:ADRs?|decisions?)\b\s*:?\s*(\d{4}\b(?:\s*(?:\([^()]*\))?\s*(?:,\s*and|,|and|/|&)\s*\d{4}\b)*)"
+MARKDOWN_LINK = r"\[[^\[\]]*\]\(([^)\s]+?\.md)(?:#[^)\s]*)?\)"
+#: No group here repeats but possessively: the JVM matches other repeated groups by recursion, a frame each.
+PATH_RUN = r"(?<![\w./\p{L}\p{N}-])([A-Za-z0-9._-][A-Za-z0-9._/-]*[\p{L}\p{N}]?)"
+BARE_PATH = r"^([A-Za-z0-9._-][A-Za-z0-9._/-]*/[A-Za-z0-9._-]+\.md)(?![\w\p{L}\p{N}])"
+CITATION = r"(?iU)\b(?:ADRs?|decisions?)\b\s*:?\s*(\d{4}\b(?:\s*(?:\([^()]*\))?\s*(?:,\s*and|,|and|/|&)\s*\d{4}\b)*+)"
 URL_LIKE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)"
 NULL_WORDS = ("", "null", "none", "~")
 TOKEN = r"([\p{L}\p{N}\p{Co}]+)"
@@ -128,7 +130,9 @@ def markdown_links(text: Column) -> Column:
 
 
 def bare_paths(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(BARE_PATH), F.lit(1))
+    """Of each run of path characters, the longest beginning that is a path of a Markdown file in a folder, without empty steps."""
+    runs = F.filter(F.regexp_extract_all(text, F.lit(PATH_RUN), F.lit(1)), lambda r: F.contains(r, F.lit(".md")))
+    return F.filter(F.transform(runs, lambda r: F.regexp_extract(F.substring_index(r, "//", 1), BARE_PATH, 1)), lambda x: x != "")
 
 
 def citations(text: Column) -> Column:
