@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -14,8 +15,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from mosslight import schema as S
 from mosslight.staging import stage
 
-#: Edges up to which every task may hold the whole graph; beyond it ranks are joined and aggregated.
-LOCAL_EDGES = 1_000_000
+#: Bytes of arrays up to which every task may hold the whole graph; beyond it ranks are joined and aggregated.
+LOCAL_BYTES = 16 << 20
+EDGE_BYTES, NODE_BYTES = 16, 16
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -33,40 +35,38 @@ def normalized(adj: DataFrame) -> DataFrame:
 
 def restart(seeds: DataFrame, adj: DataFrame) -> DataFrame:
     """``query_id, node, p``: an even share for each seed (``query_id, path``) that is in the graph."""
-    nodes = adj.select(F.col("src").alias("path")).distinct()
+    nodes = adj.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
     present = seeds.select("query_id", "path").distinct().join(nodes, "path")
     n = present.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return present.join(n, "query_id").select("query_id", F.col("path").alias("node"), (1 / F.col("n")).alias("p"))
 
 
-def pagerank_fixed(adj: DataFrame, seeds: DataFrame, iterations: int, damping: float = S.DAMPING, cut_every: int = 5, tolerance: float | None = None) -> DataFrame:
+def _step(rank: DataFrame, share: DataFrame, start: DataFrame, damping: float, loose: DataFrame | None = None) -> DataFrame:
+    """One iteration of ``query_id, node, rank``; mass at nodes without edges (``loose``) returns to the query's seeds."""
+    moved = rank.join(share, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), (damping * F.col("rank") * F.col("share")).alias("m"))
+    parts = moved.unionByName(start.select("query_id", "node", ((1 - damping) * F.col("p")).alias("m")))
+    if loose is not None:
+        lost = rank.join(loose, "node").groupBy("query_id").agg(F.sum("rank").alias("lost"))
+        parts = parts.unionByName(start.join(lost, "query_id").select("query_id", "node", (damping * F.col("lost") * F.col("p")).alias("m")))
+    return parts.groupBy("query_id", "node").agg(F.sum("m").alias("rank"))
+
+
+def pagerank_fixed(adj: DataFrame, seeds: DataFrame, iterations: int, damping: float = S.DAMPING, cut_every: int = 5) -> DataFrame:
     """``query_id, node, rank`` after a number of iterations, as joins and aggregations.
 
-    Each edge has its reverse, so no mass is lost at a node without edges. Ranks are written
-    out every few iterations, which keeps the plan short and a lost executor cheap. With a
-    ``tolerance`` the walk ends once no query's ranks moved by more since they were last written.
+    For graphs in which each edge has its reverse, so that no mass is lost at a node without
+    edges. Ranks are written out every few iterations, which keeps the plan short and a lost
+    executor cheap.
     """
     share, start = stage(normalized(adj), "shares"), stage(restart(seeds, adj), "restart")
-    rank = written = start.withColumnRenamed("p", "rank")
+    rank = start.withColumnRenamed("p", "rank")
     for i in range(1, iterations + 1):
-        moved = rank.join(share, F.col("node") == F.col("src")).select("query_id", F.col("dst").alias("node"), (damping * F.col("rank") * F.col("share")).alias("m"))
-        back = start.select("query_id", "node", ((1 - damping) * F.col("p")).alias("m"))
-        rank = moved.unionByName(back).groupBy("query_id", "node").agg(F.sum("m").alias("rank"))
+        rank = _step(rank, share, start, damping)
         if i % cut_every == 0 and i < iterations:
             rank = stage(rank, "rank")
-            if tolerance is not None and _moved(written, rank) < tolerance:
-                break
-            written = rank
     return rank
 
 
-def _moved(before: DataFrame, after: DataFrame) -> float:
-    """The largest L1 distance of a query's ranks between two states."""
-    both = before.select("query_id", "node", (-F.col("rank")).alias("r")).unionByName(after.select("query_id", "node", F.col("rank").alias("r")))
-    gaps = both.groupBy("query_id", "node").agg(F.abs(F.sum("r")).alias("gap")).groupBy("query_id").agg(F.sum("gap").alias("gap"))
-    return gaps.agg(F.max("gap")).first()[0] or 0.0
-
-
 def power_iteration(adj: dict, seeds: list, damping: float = S.DAMPING, tolerance: float = S.TOLERANCE, iterations: int = S.MAX_ITERATIONS) -> dict:
     """Ranks on a small graph ``{node: {node: weight}}``; a node without edges returns its mass to the seeds."""
     nodes = sorted(adj)
@@ -76,67 +76,114 @@ def power_iteration(adj: dict, seeds: list, damping: float = S.DAMPING, toleranc
         return {}
     flat = [(at[a], at[b], w) for a in nodes for b, w in adj[a].items() if b in at]
     src, dst, w = (np.array(x) for x in zip(*flat, strict=True)) if flat else (np.empty(0, int), np.empty(0, int), np.empty(0))
-    p = np.zeros((len(nodes), 1))
+    p = np.zeros(len(nodes))
     p[[at[s] for s in mine]] = 1 / len(mine)
-    return dict(zip(nodes, _iterate(src, dst, w, p, damping, tolerance, iterations)[:, 0].tolist(), strict=True))
-
-
-def _iterate(src: np.ndarray, dst: np.ndarray, w: np.ndarray, p: np.ndarray, damping: float, tolerance: float, iterations: int) -> np.ndarray:
-    """Power iteration for all columns of ``p`` at once; a column stops when it has settled."""
-    n = len(p)
-    total = np.bincount(src, weights=w, minlength=n)
-    order = np.argsort(dst, kind="stable")
-    src, dst, w = src[order], dst[order], w[order]
-    share = w / total[src] if len(w) else w
-    heads = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]]) if len(dst) else np.empty(0, int)
-    loose = total == 0
-    rank, going = p.copy(), np.arange(p.shape[1])
-    for _ in range(iterations):
-        now, new = rank[:, going], np.zeros((n, len(going)))
-        if len(heads):
-            new[dst[heads]] = np.add.reduceat(now[src] * share[:, None], heads, axis=0)
-        new = damping * (new + now[loose].sum(axis=0) * p[:, going]) + (1 - damping) * p[:, going]
-        rank[:, going] = new
-        going = going[np.abs(new - now).sum(axis=0) >= tolerance]
-        if not len(going):
-            break
-    return rank
+    return dict(zip(nodes, Walk(src, dst, w, len(nodes)).rank(p, damping, tolerance, iterations).tolist(), strict=True))
+
+
+class Walk:
+    """A graph as arrays in the order of edges' ends; power iteration for one query at a time, whose vectors stay in the cache."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int):
+        order = np.lexsort((src, dst))
+        self._n, self._src, self._dst = n, src[order], dst[order]
+        total = np.bincount(src, weights=weight, minlength=n)
+        self._share = weight[order] / total[self._src] if len(order) else np.empty(0)
+        self._loose = np.flatnonzero(total == 0)
+
+    def rank(self, p: np.ndarray, damping: float, tolerance: float, iterations: int) -> np.ndarray:
+        """Ranks from the restart vector ``p``, until they move by less than ``tolerance`` in sum."""
+        now = p
+        for _ in range(iterations):
+            moved = np.bincount(self._dst, weights=now[self._src] * self._share, minlength=self._n) if len(self._dst) else np.zeros(self._n)
+            new = damping * (moved + now[self._loose].sum() * p) + (1 - damping) * p
+            gap, now = np.abs(new - now).sum(), new
+            if gap < tolerance:
+                break
+        return now
+
+
+def numbered_nodes(adj: DataFrame) -> DataFrame:
+    """``node, id``, a stored table: nodes numbered in their order, range by range."""
+    nodes = stage(adj.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+    ranges = nodes.repartitionByRange("node").sortWithinPartitions("node")
+    ranges = stage(ranges.select("node", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")), "ranges")
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("start"))
+    return stage(ranges.join(starts, "range").select("node", (F.col("start") + F.col("nth")).alias("id")), "numbered")
+
 
+def _best(ranks: DataFrame, top: int | None, digits: int) -> DataFrame:
+    if top is None:
+        return ranks
+    by = Window.partitionBy("query_id").orderBy(F.round("rank", digits).desc(), "node")
+    return ranks.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= top).drop("nth")
 
-def pagerank(adj: DataFrame, seeds: DataFrame, damping: float = S.DAMPING, tolerance: float = S.TOLERANCE, iterations: int = S.MAX_ITERATIONS, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """``query_id, node, rank`` (positive ranks) for every query, to convergence.
 
-    The number of edges decides: a graph of a bounded size goes to every task as arrays and the
-    queries are dealt out, some dozen to a matrix; a larger one is iterated as tables.
+def pagerank(
+    adj: DataFrame, seeds: DataFrame, damping: float = S.DAMPING, tolerance: float = S.TOLERANCE, iterations: int = S.MAX_ITERATIONS, top: int | None = None, digits: int = 12, local_bytes: int = LOCAL_BYTES
+) -> DataFrame:
+    """``query_id, node, rank`` (positive ranks) for every query, to convergence; with ``top``, each query's best nodes only.
+
+    A query is done once its ranks move by less than ``tolerance`` in sum, and keeps them from
+    then on. The bytes of the graph's arrays decide how it is worked off, not what comes out: one
+    that fits goes to every task as numbers and the queries are dealt out; a larger one is
+    iterated as tables, all queries at once. Best nodes are by rank rounded to ``digits``, then by name.
     """
-    spark = adj.sparkSession
     adj = stage(adj, "adjacency")
-    if adj.count() > local_edges:
-        return pagerank_fixed(adj, seeds, iterations, damping, tolerance=tolerance).where("rank > 0")
-    names = sorted({r[0] for r in adj.select("src").distinct().collect()})
-    at = {n: i for i, n in enumerate(names)}
-    rows = adj.collect()
-    graph = spark.sparkContext.broadcast((names, np.array([at[r["src"]] for r in rows], int), np.array([at[r["dst"]] for r in rows], int), np.array([r["weight"] for r in rows], float)))
-    per_query = restart(seeds, adj).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("node", "p"))).alias("seeds"))
+    nodes = numbered_nodes(adj)
+    if EDGE_BYTES * adj.count() + NODE_BYTES * nodes.count() > local_bytes:
+        return _best(_pagerank_tables(adj, seeds, damping, tolerance, iterations).where("rank > 0"), top, digits)
+    return _pagerank_local(adj, nodes, seeds, damping, tolerance, iterations, top, digits)
+
+
+def _pagerank_tables(adj: DataFrame, seeds: DataFrame, damping: float, tolerance: float, iterations: int) -> DataFrame:
+    share, start = stage(normalized(adj), "shares"), stage(restart(seeds, adj), "restart")
+    loose = stage(adj.select(F.col("dst").alias("node")).distinct().join(adj.select(F.col("src").alias("node")).distinct(), "node", "left_anti"), "loose")
+    loose = None if loose.isEmpty() else loose
+    rank, done = start.withColumnRenamed("p", "rank"), []
+    for _ in range(iterations):
+        new = stage(_step(rank, share, start, damping, loose), "rank")
+        both = rank.select("query_id", "node", (-F.col("rank")).alias("r")).unionByName(new.select("query_id", "node", F.col("rank").alias("r")))
+        gaps = both.groupBy("query_id", "node").agg(F.abs(F.sum("r")).alias("gap")).groupBy("query_id").agg(F.sum("gap").alias("gap"))
+        settled = stage(gaps.where(F.col("gap") < tolerance).select("query_id"), "settled")
+        rank = new
+        if not settled.isEmpty():
+            done.append(stage(new.join(settled, "query_id", "left_semi"), "done"))
+            rank, start = stage(new.join(settled, "query_id", "left_anti"), "rank"), stage(start.join(settled, "query_id", "left_anti"), "restart")
+            if start.isEmpty():
+                break
+    return reduce(DataFrame.unionByName, done, rank)
+
+
+def _pagerank_local(adj: DataFrame, nodes: DataFrame, seeds: DataFrame, damping: float, tolerance: float, iterations: int, top: int | None, digits: int) -> DataFrame:
+    """The graph's arrays, of a checked size, go to every task; names stay in their table and join to what comes out."""
+    spark = adj.sparkSession
+    ends = adj.join(nodes.select(F.col("node").alias("src"), F.col("id").alias("a")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("id").alias("b")), "dst")
+    edges = ends.select("a", "b", "weight").toArrow()
+    n = nodes.count()
+    graph = spark.sparkContext.broadcast((*(edges.column(c).to_numpy().astype(np.int32) for c in ("a", "b")), edges.column("weight").to_numpy()))
+    present = seeds.select("query_id", F.col("path").alias("node")).distinct().join(nodes, "node")
+    per_query = present.groupBy("query_id").agg(F.sort_array(F.collect_list("id")).alias("seeds"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     per_query = per_query.repartition(tasks, "query_id")  # few rows of much work: not to be merged by size
     kind, id_type = seeds.schema["query_id"].dataType.simpleString(), to_arrow_type(seeds.schema["query_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, src, dst, w = graph.value
-        where = {n: i for i, n in enumerate(names)}
+        walk = None
         for b in batches:
-            for a in range(0, b.num_rows, 32):
-                part = b.slice(a, 32).to_pylist()
-                p = np.zeros((len(names), len(part)))
-                for j, r in enumerate(part):
-                    for s in r["seeds"]:
-                        p[where[s["node"]], j] = s["p"]
-                rank = _iterate(src, dst, w, p, damping, tolerance, iterations)
-                i, j = np.nonzero(rank > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([part[x]["query_id"] for x in j.tolist()], id_type), pa.array([names[x] for x in i.tolist()], pa.string()), pa.array(rank[i, j])], names=["query_id", "node", "rank"])
-
-    return per_query.mapInArrow(run, f"query_id {kind}, node string, rank double")
+            for query_id, mine in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                walk = walk or Walk(*graph.value, n)
+                p = np.zeros(n)
+                p[mine] = 1 / len(mine)
+                rank = walk.rank(p, damping, tolerance, iterations)
+                at = np.flatnonzero(rank > 0)
+                if top is not None:
+                    at = at[np.lexsort((at, -np.round(rank[at], digits)))[:top]]
+                yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(at), id_type), pa.array(at, pa.int64()), pa.array(rank[at])], names=["query_id", "id", "rank"])
+
+    found = per_query.mapInArrow(run, f"query_id {kind}, id long, rank double")
+    return found.join(nodes, "id").select("query_id", "node", "rank")
 
 
 def seed_documents(base: DataFrame, chunks: DataFrame) -> DataFrame:

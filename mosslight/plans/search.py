@@ -100,7 +100,7 @@ def search(
     if "graph" in wanted and lists:
         base = stage(fusion.base_ranking(list(lists.values())), "base")
         seeds = stage(graph.seed_documents(base, corpus.chunks), "seeds")
-        ranks = graph.pagerank(graph.adjacency(corpus.edges), seeds)
+        ranks = graph.pagerank(graph.adjacency(corpus.edges), seeds, top=pool)
         lists["graph"] = stage(graph.votes(ranks, base, corpus.chunks, pool), "graph")
     responses = fusion.modes(queries, lists, wanted)
     used = F.array_contains("channels_used", "vector")

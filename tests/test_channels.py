@@ -132,17 +132,18 @@ def test_power_iteration():
     assert hub["h"] > hub["l"]
 
 
-def plain_pagerank(adj, seeds):
+def plain_pagerank(adj, seeds, damping=0.85, tolerance=1e-8, iterations=100):
     nodes, present = sorted(adj), sorted({s for s in seeds if s in adj})
     p = {n: (1 / len(present) if n in present else 0.0) for n in nodes}
     rank = dict(p)
-    for _ in range(100):
-        new = {n: 0.15 * p[n] for n in nodes}
+    for _ in range(iterations):
+        loose = damping * sum(rank[n] for n in nodes if not adj[n])
+        new = {n: (1 - damping + loose) * p[n] for n in nodes}
         for n in nodes:
             for m, w in adj[n].items():
-                new[m] += 0.85 * rank[n] * w / sum(adj[n].values())
+                new[m] += damping * rank[n] * w / sum(adj[n].values())
         gap, rank = sum(abs(new[n] - rank[n]) for n in nodes), new
-        if gap < 1e-8:
+        if gap < tolerance:
             break
     return rank
 
@@ -162,13 +163,24 @@ def test_pagerank_of_tables(spark):
     some = sorted(adj)
     seeds = {0: [some[0]], 1: [some[3], some[5], "absent"], 2: ["absent"]}
     df = spark.createDataFrame([(q, s) for q, x in seeds.items() for s in x], "query_id int, path string")
-    for ranks, near in ((graph.pagerank(table, df), 1e-9), (graph.pagerank_fixed(table, df, 40), 2e-3), (graph.pagerank(table, df, tolerance=1e-3, local_edges=0), 5e-3)):
+    adj["end"] = {}
+    adj[some[0]]["end"] = 0.7
+    hanging = table.unionByName(spark.createDataFrame([(some[0], "end", 0.7)], table.schema))
+    quick = {"damping": 0.3, "tolerance": 1e-3}
+    for ranks, options in ((graph.pagerank(hanging, df), {}), (graph.pagerank(hanging, df, **quick), quick), (graph.pagerank(hanging, df, **quick, local_bytes=0), quick)):
         got = {}
         for r in ranks.collect():
             got.setdefault(r.query_id, {})[r.node] = r.rank
         assert sorted(got) == [0, 1]
         for q in got:
-            assert all(got[q].get(n, 0) == pytest.approx(v, abs=near) for n, v in plain_pagerank(adj, seeds[q]).items())
+            assert all(got[q].get(n, 0) == pytest.approx(v, abs=1e-12) for n, v in plain_pagerank(adj, seeds[q], **options).items())
+    plain = {q: plain_pagerank(adj, seeds[q], **quick) for q in (0, 1)}
+    want = {(q, n) for q, x in plain.items() for n in sorted(x, key=lambda n: (-round(x[n], 12), n))[:5]}
+    for size in (0, graph.LOCAL_BYTES):
+        assert {(r.query_id, r.node) for r in graph.pagerank(hanging, df, **quick, top=5, local_bytes=size).collect()} == want
+    fixed = {(r.query_id, r.node): r.rank for r in graph.pagerank_fixed(table, df, 12).collect()}
+    del adj["end"], adj[some[0]]["end"]
+    assert all(fixed.get((1, n), 0) == pytest.approx(v, abs=1e-12) for n, v in plain_pagerank(adj, seeds[1], tolerance=0, iterations=12).items())
 
 
 def test_votes_prefer_candidates_then_document_order(spark):
