@@ -58,8 +58,8 @@ def checked(vectors: list[list[float]], n: int, dim: int) -> np.ndarray:
     return out
 
 
-def embed(rows: DataFrame, embedder: Embedder, key: str = "ref", text: str = "text", batch: int = S.EMBED_BATCH, strict: bool = True) -> DataFrame:
-    """``key, embedding`` for every row, some texts in a call.
+def embed(rows: DataFrame, embedder: Embedder, key: str = "ref", text: str = "text", batch: int = S.EMBED_BATCH, strict: bool = True, also: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``also``, and ``embedding`` for every row, some texts in a call.
 
     A failed call raises; with ``strict`` off its rows are left out and what else was embedded
     is kept, so that a later run embeds only what is missing.
@@ -67,7 +67,7 @@ def embed(rows: DataFrame, embedder: Embedder, key: str = "ref", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             parts, kept = [], []
             for a in range(0, len(texts), batch):
                 try:
@@ -78,11 +78,12 @@ def embed(rows: DataFrame, embedder: Embedder, key: str = "ref", text: str = "te
                         raise
             flat = np.concatenate(parts).ravel() if parts else np.empty(0, np.float32)
             offsets = np.arange(0, len(flat) + 1, embedder.dim, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()))], names=[key, "embedding"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(kept, pa.int64())) for c in b.columns[:-1]), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()))], names=[key, *also, "embedding"])
 
-    return rows.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<float>")
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in (key, *also))
+    return rows.select(key, *also, text).mapInArrow(run, kinds + "embedding array<float>")
 
 
 def chunk_text(chunks: DataFrame) -> DataFrame:
-    """``ref, text`` as chunks are embedded: heading path, blank line, body."""
-    return chunks.select("ref", F.concat_ws("\n\n", "heading_path", "body").alias("text"))
+    """``ref, path, chunk_seq, text`` as chunks are embedded: heading path, blank line, body."""
+    return chunks.select("ref", "path", "chunk_seq", F.concat_ws("\n\n", "heading_path", "body").alias("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mosslight import schema as S
 from mosslight.functions.text import body_links, clean_scalar, decision_number, is_work_log, normalize_target, resolution_keys, resolve_relative
+from mosslight.staging import stage
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -40,22 +41,28 @@ def resolve(targets: DataFrame, docs: DataFrame) -> DataFrame:
 
     number = F.col("target").rlike(r"^\d{4}$")
     relative = F.lower(resolve_relative(F.col("src_path"), F.col("target")))
-    rows = targets.join(repo_of, "src_path", "left").withColumns({"is_number": number, "relative": F.when(~number, relative)})
-    rows = rows.withColumns({"number_key": F.when(F.col("is_number"), F.col("target")), "name_key": F.when(~F.col("is_number") & F.col("relative").isNull(), normalize_target(F.col("target")))})
+    rows = targets.join(repo_of, "src_path", "left").withColumns({"is_number": F.coalesce(number, F.lit(False)), "relative": F.when(~number, relative)})
+    rows = stage(rows, "targets")
 
-    def look(rows: DataFrame, table: DataFrame, key: str, name: str, in_repo: bool) -> DataFrame:
+    def look(rows: DataFrame, table: DataFrame, name: str, in_repo: bool) -> DataFrame:
         bucket = _bucket(table, ["repo", "key"] if in_repo else ["key"], name).withColumnsRenamed({"repo": f"{name}_repo", "key": f"{name}_key"})
-        on = F.col(key) == F.col(f"{name}_key")
+        on = F.col("key") == F.col(f"{name}_key")
         return rows.join(bucket, (on & (F.col("src_repo") == F.col(f"{name}_repo"))) if in_repo else on, "left")
 
-    for table, key, name in ((numbers, "number_key", "num"), (names, "name_key", "nam")):
-        rows = look(look(rows, table, key, f"{name}_own", True), table, key, f"{name}_all", False)
-    rows = rows.join(paths, F.col("relative") == F.col("exact_key"), "left")
+    parts = []  # numbers, names and paths apart, so that each row is looked up by a key that it has
+    kinds = ((F.col("is_number"), F.col("target"), numbers), (~F.col("is_number") & F.col("relative").isNull(), normalize_target(F.col("target")), names))
+    for is_kind, key, table in kinds:
+        mine = rows.where(is_kind).withColumn("key", key)
+        parts.append(look(look(mine, table, "own", True), table, "all", False).drop("key", "own_repo", "own_key", "all_key"))
+    parts.append(rows.where(~F.col("is_number") & F.col("relative").isNotNull()).join(paths, F.col("relative") == F.col("exact_key"), "left").drop("exact_key"))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2], allowMissingColumns=True)
 
     one = lambda name: F.when(F.col(f"{name}_n") == 1, F.col(f"{name}_path"))
-    some = lambda name: F.col(f"{name}_n").isNotNull()
-    dst = F.when(F.col("is_number"), F.when(some("num_own"), one("num_own")).otherwise(one("num_all"))).when(F.col("relative").isNotNull(), F.col("exact_path")).otherwise(F.coalesce(one("nam_own"), one("nam_all")))
-    unclear = F.when(F.col("is_number"), F.greatest(F.coalesce("num_own_n", F.lit(0)), F.coalesce("num_all_n", F.lit(0))) > 1).when(F.col("relative").isNotNull(), F.lit(False)).otherwise(F.greatest(F.coalesce("nam_own_n", F.lit(0)), F.coalesce("nam_all_n", F.lit(0))) > 1)
+    by_number = F.when(F.col("own_n").isNotNull(), one("own")).otherwise(one("all"))
+    by_name = F.coalesce(one("own"), one("all"))
+    is_path = F.col("relative").isNotNull()
+    dst = F.when(F.col("is_number"), by_number).when(is_path, F.col("exact_path")).otherwise(by_name)
+    unclear = ~is_path & (F.greatest(F.coalesce("own_n", F.lit(0)), F.coalesce("all_n", F.lit(0))) > 1)
     logged = F.col("is_number") & (F.col("relation") != S.SUPERSEDED_BY) & is_work_log(F.col("src_path"))
     outcome = F.when(logged, "work_log").when(dst == F.col("src_path"), "self").when(dst.isNotNull(), "edge").when(unclear, "ambiguous").otherwise("unresolved")
     return rows.select("src_path", "target", "relation", F.when(outcome == "edge", dst).alias("dst_path"), outcome.alias("outcome"))

@@ -231,7 +231,7 @@ def reindex(spark: SparkSession, root: str, files: DataFrame, knowledge: str | N
             status = "ready" if embedder.probe() else "unavailable"
             if status == "ready":
                 todo = vectors.missing(chunks, kept)
-                fresh_vectors = stage(embedding.embed(embedding.chunk_text(todo), embedder, strict=False), "embedded")
+                fresh_vectors = stage(embedding.embed(embedding.chunk_text(todo), embedder, strict=False, also=("path", "chunk_seq")), "embedded")
                 embedded = fresh_vectors.count()
                 kept = kept.unionByName(fresh_vectors)
         saved = save("vectors", kept)

@@ -15,7 +15,7 @@ from mosslight.staging import stage
 
 @dataclass
 class Corpus:
-    """The tables of one snapshot. ``vectors`` may be None; ``model`` and ``dim`` say what made them."""
+    """The tables of one snapshot. ``vectors`` (with each chunk's ``path`` and ``chunk_seq``) may be None; ``model`` and ``dim`` say what made them."""
 
     documents: DataFrame
     chunks: DataFrame
@@ -59,9 +59,9 @@ def _vector_list(corpus: Corpus, queries: DataFrame, embedder: Embedder | None,
             query_vectors = stage(embed(queries.where(F.trim("query") != ""), embedder, "query_id", "query"), "query_vectors")
         except (EmbeddingError, OSError) as e:
             return None, f"embedding the queries failed: {e}"
-    # ties go by document order, as in the lexical channel
-    ordered = corpus.vectors.join(corpus.chunks.select("ref", "path", "chunk_seq"), "ref").select(F.concat_ws("\x01", "path", F.lpad(F.col("chunk_seq").cast("string"), 9, "0"), "ref").alias("place"), "embedding")
-    near = vectors.knn(ordered, query_vectors, pool, key="place")
+    # ties go by document order, as in the lexical channel; the index keeps it beside each vector, so no vector is shuffled
+    place = F.concat_ws("\x01", "path", F.lpad(F.col("chunk_seq").cast("string"), 9, "0"), "ref").alias("place")
+    near = vectors.knn(corpus.vectors.select(place, "embedding"), query_vectors, pool, key="place")
     return near.select("query_id", F.substring_index("place", "\x01", -1).alias("ref"), "distance", "rank"), None
 
 

@@ -111,10 +111,10 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
-    """``ref, embedding``: the vector of the document's number stands at its first chunk (of the table ``of``)."""
-    first = (chunks(spark, sf_dir) if of is None else of).groupBy("path").agg(F.min_by("ref", "chunk_seq").alias("ref"))
+    """``ref, path, chunk_seq, embedding``: the vector of the document's number stands at its first chunk (of the table ``of``)."""
+    first = (chunks(spark, sf_dir) if of is None else of).groupBy("path").agg(F.min_by("ref", "chunk_seq").alias("ref"), F.min("chunk_seq").alias("chunk_seq"))
     ids = corpus_docs(spark, sf_dir).select("doc_id", "path")
-    return table(spark, sf_dir, "embeddings").join(ids, F.col("vec_id") == F.col("doc_id")).join(first, "path").select("ref", "embedding")
+    return table(spark, sf_dir, "embeddings").join(ids, F.col("vec_id") == F.col("doc_id")).join(first, "path").select("ref", "path", "chunk_seq", "embedding")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

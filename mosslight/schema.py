@@ -19,7 +19,7 @@ WORD_WINDOW = 200
 MAX_DOCUMENT_BYTES = 8 * 1024 * 1024
 BM25_K1, BM25_B, IDF_FLOOR = 1.2, 0.75, 1e-6
 EMBED_DIM, EMBED_BATCH = 768, 32
-SCHEMA_VERSION, EXTRACTOR_VERSION = 3, 2
+SCHEMA_VERSION, EXTRACTOR_VERSION = 4, 2
 BREADCRUMB = " > "
 
 LINKS_TO, SUPERSEDED_BY, SUPERSEDES, LINKED_FROM = "links_to", "superseded_by", "supersedes", "linked_from"
@@ -27,7 +27,7 @@ CHANNELS = ("lexical", "vector", "graph")
 
 DOCUMENTS = "repo string, path string, title string, doc_type string, mtime double, content_hash string, decided_on string, superseded_by string, tags string"
 CHUNKS = "ref string, path string, chunk_seq int, heading_path string, body string"
-VECTORS = "ref string, embedding array<float>"
+VECTORS = "ref string, path string, chunk_seq int, embedding array<float>"
 LINK_TARGETS = "src_path string, target string, relation string"
 DOC_LINKS = "src_path string, dst_path string, relation string"
 QUERIES = "query_id string, query string"

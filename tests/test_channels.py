@@ -68,21 +68,36 @@ def test_topk_order_and_pool(spark):
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_knn_is_exact(spark, metric):
     rng = np.random.default_rng(0)
-    x, q = rng.normal(size=(150, 8)).astype(np.float32), rng.normal(size=(7, 8)).astype(np.float32)
+    x, q = rng.normal(size=(400, 8)).astype(np.float32), rng.normal(size=(7, 8)).astype(np.float32)
     x[20] = x[21] = q[0]
-    df = spark.createDataFrame([(f"r{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("none", None)], S.VECTORS).repartition(5)
-    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id int, embedding array<float>")
-    got = {}
-    for r in vectors.knn(df, qs, 10, metric).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.ref)
-    for i, v in enumerate(q.astype(float)):
-        d = np.linalg.norm(x - v, axis=1) if metric == "l2" else 1 - x @ v / np.linalg.norm(x.astype(float), axis=1) / np.linalg.norm(v)
-        assert got[i] == [f"r{j:03d}" for j in sorted(range(150), key=lambda j: (round(float(d[j]), 9), j))[:10]]
+    x[100:200] = q[1] + np.float32(0.01)
+    x[200:260] = x[200] + rng.normal(size=(60, 8)).astype(np.float32) * np.float32(1e-7)
+    zero = [("zero", [0.0] * 8)] if metric == "cosine" else []
+    df = spark.createDataFrame([(f"r{i:03d}", v.tolist()) for i, v in enumerate(x)] + [("none", None), *zero], "ref string, embedding array<float>").repartition(3)
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)] + [(99, None)], "query_id int, embedding array<float>")
+    for group in (3, 100):
+        got = {}
+        for r in vectors.knn(df, qs, 10, metric, group=group).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.ref)
+        assert sorted(got) == list(range(7))
+        for i, v in enumerate(q.astype(float)):
+            d = np.linalg.norm(x - v, axis=1) if metric == "l2" else 1 - (x.astype(float) * v).sum(1) / np.linalg.norm(x.astype(float), axis=1) / np.linalg.norm(v)
+            assert got[i] == [f"r{j:03d}" for j in sorted(range(400), key=lambda j: (round(float(d[j]), 9), j))[:10]]
     assert vectors.knn(df, qs.where("query_id < 0"), 3).count() == 0
     expression = vectors.l2 if metric == "l2" else vectors.cosine_distance
     assert df.where("ref = 'r020'").select(expression(F.col("embedding"), F.array(*map(F.lit, q[0].tolist())))).first()[0] == pytest.approx(0, abs=1e-6)
 
 
+def test_knn_of_many_queries_needs_no_driver_memory_for_them(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ref int, embedding array<float>")
+    got = vectors.knn(df, df.selectExpr("ref as query_id", "embedding").crossJoin(spark.range(10).selectExpr("id as again")).selectExpr("query_id * 10L + again as query_id", "embedding"), 1)
+    assert {(r.query_id, r.ref, r.distance) for r in got.collect()} == {(i, i // 10, 0.0) for i in range(3000)}
+    with pytest.raises(Exception, match="width"):
+        vectors.knn(df, spark.createDataFrame([(1, [1.0])], "query_id int, embedding array<float>"), 1).collect()
+
+
 def test_degradation_order():
     base = {"requested": True, "supported": True, "query": "q", "has_table": True, "n_vectors": 1, "stored_model": "a", "model": "a", "width": 3, "dim": 3}
     d = lambda **x: vectors.degradation(**{**base, **x})
@@ -106,11 +121,16 @@ def test_character_embedder(spark):
 
 
 def test_rrf(spark):
-    ranking = lambda ids: spark.createDataFrame([(0, str(r), i + 1) for i, r in enumerate(ids)], "query_id int, ref string, rank int")
-    got = {r.ref: r.score for r in fusion.rrf({"a": (ranking([10, 20, 30]), 1.0), "b": (ranking([20, 30, 40]), 1.0)}).collect()}
-    assert got == pytest.approx({"10": 1 / 61, "20": 1 / 62 + 1 / 61, "30": 1 / 63 + 1 / 62, "40": 1 / 63})
-    got = {r.ref: r.score for r in fusion.rrf({"a": (ranking([1]), 1.0), "b": (ranking([2]), 0.25)}).collect()}
-    assert got == pytest.approx({"1": 1 / 61, "2": 0.25 / 61})
+    rng = random.Random(5)
+    lists = {name: (rng.sample([f"c{i}" for i in range(12)], n), w) for name, n, w in (("one", 9, 1.0), ("two", 5, 0.4), ("three", 7, 2.5))}
+    ranking = lambda refs: spark.createDataFrame([(q, r, i + 1) for q in (1, 2) for i, r in enumerate(refs[:: q])], "query_id int, ref string, rank int")
+    want = {}
+    for q in (1, 2):
+        for refs, w in lists.values():
+            for i, r in enumerate(refs[::q]):
+                want[q, r] = want.get((q, r), 0) + w / (S.RRF_K + i + 1)
+    got = {(r.query_id, r.ref): r.score for r in fusion.rrf({n: (ranking(x), w) for n, (x, w) in lists.items()}).collect()}
+    assert got == pytest.approx(want)
     with pytest.raises(ValueError, match="no channel"):
         fusion.rrf({})
     with pytest.raises(ValueError, match="unknown channels"):
@@ -124,12 +144,12 @@ def test_page_takes_one_chunk_a_document_before_the_limit(spark):
 
 
 def test_power_iteration():
-    r = graph.power_iteration({1: {2: 1.0}, 2: {3: 1.0}, 3: {}}, [1])
-    assert r[1] > r[2] > r[3] > 0 and sum(r.values()) == pytest.approx(1)
-    assert graph.power_iteration({1: {2: 1.0}, 2: {1: 0.5}}, [2])[1] > 0
-    assert graph.power_iteration({}, [1]) == graph.power_iteration({1: {}}, []) == graph.power_iteration({1: {}}, [9]) == {}
-    hub = graph.power_iteration({"h": {}, "l": {}, "a": {"h": 1.0, "l": 1.0}, "b": {"h": 1.0}, "c": {"h": 1.0}}, ["a", "b", "c"])
-    assert hub["h"] > hub["l"]
+    ring = graph.power_iteration({"n": {"e": 2.0}, "e": {"s": 1.0}, "s": {"w": 9.0}, "w": {"n": 1.0}}, ["s", "s", "nowhere"])
+    assert ring["s"] > ring["w"] > ring["n"] > ring["e"] and sum(ring.values()) == pytest.approx(1)
+    star = graph.power_iteration({"hub": {}, "a": {"hub": 1.0, "b": 3.0}, "b": {"hub": 1.0}}, ["a"])
+    assert star["hub"] + star["a"] + star["b"] == pytest.approx(1) and star["b"] > 0.75 * star["a"] * 0.85 * 0.99
+    for adj, seeds in (({}, ["a"]), ({"a": {}}, ["b"]), ({"a": {}}, [])):
+        assert graph.power_iteration(adj, seeds) == {}
 
 
 def plain_pagerank(adj, seeds, damping=0.85, tolerance=1e-8, iterations=100):
@@ -233,12 +253,18 @@ def test_resolution(spark):
     assert (n.edges, n.unresolved, n.unlinkable, n.from_work_logs, n.n_dangling) == (3, 3, 5, 1, 2)
 
 
-@pytest.mark.parametrize(("relevant", "ranked", "k", "recall", "rr"), [(["x", "y"], "x other z", 10, 0.5, 1), (["y"], "other y", 10, 1, 0.5), (["y"], "a b y", 2, 0, 0), (["y"], "a a y", 3, 1, 1 / 3)])
-def test_scores(spark, relevant, ranked, k, recall, rr):
-    judged = spark.createDataFrame([("q", relevant)], "query_id string, relevant array<string>")
-    results = spark.createDataFrame([("q", p, i + 1) for i, p in enumerate(ranked.split())], "query_id string, path string, position int")
-    r = evaluate.scores(judged, results, k).first()
-    assert (r.recall, r.rr) == pytest.approx((recall, rr)) and sorted(r.found + r.missed) == sorted(relevant)
+def test_scores(spark):
+    rng, rows, judged, want = random.Random(6), [], [], {}
+    for q in range(8):
+        ranked = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]
+        relevant = rng.sample("abcdefghxy", rng.randint(1, 4))
+        rows += [(q, p, i + 1) for i, p in enumerate(ranked)]
+        judged.append((q, [*relevant, relevant[0]]))
+        top = ranked[:5]
+        hit = [p for p in relevant if p in top]
+        want[q] = (len(hit) / len(relevant), max((1 / (top.index(p) + 1) for p in hit), default=0.0), sorted(hit), sorted(set(relevant) - set(hit)))
+    got = evaluate.scores(spark.createDataFrame(judged, "query_id int, relevant array<string>"), spark.createDataFrame(rows, "query_id int, path string, position int"), 5)
+    assert {r.query_id: (pytest.approx(r.recall), pytest.approx(r.rr), r.found, r.missed) for r in got.collect()} == want
 
 
 def test_records(spark):
