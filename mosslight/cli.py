@@ -5,16 +5,18 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from pyspark.sql import functions as F
 
 from mosslight import schema as S
-from mosslight.functions.embedding import CharacterEmbedder
+from mosslight.functions.embedding import CharacterEmbedder, HttpEmbedder
 from mosslight.operators import evaluate, records, response
 from mosslight.plans import index
 from mosslight.plans.search import search, with_context
 from mosslight.settings import Settings
 from mosslight.sources import discovery, judgements
+from mosslight.staging import stage
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     own = Settings.from_env()
     p.add_argument("--index", default=own.index, help="folder of the index")
     p.add_argument("--embed-dim", type=int, default=0, help="width of the built-in character embedder; 0: no vectors")
+    p.add_argument("--embed-model", default=own.embed_model, help="model of a local HTTP service, in place of the built-in embedder")
+    p.add_argument("--embed-host", default=own.embed_host or "http://127.0.0.1:11434")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("search")
     s.add_argument("query", nargs="+", help="one or more queries, searched as one batch")
@@ -43,8 +47,15 @@ def parser() -> argparse.ArgumentParser:
     e = sub.add_parser("eval")
     e.add_argument("judgements", help="YAML file")
     e.add_argument("-k", type=_positive, default=S.DEFAULT_LIMIT)
+    e.add_argument("--per-query", action="store_true", help="scores and missed documents of every query")
     a = sub.add_parser("allocate")
     a.add_argument("slug")
+    c = sub.add_parser("create")
+    c.add_argument("folder", help="folder of the records and their INDEX.md")
+    c.add_argument("slug")
+    c.add_argument("title")
+    c.add_argument("--repo", action="append", default=[])
+    c.add_argument("--tag", action="append", default=[])
     sub.add_parser("status").add_argument("--knowledge", default=own.knowledge)
     return p
 
@@ -58,12 +69,14 @@ def _positive(text: str) -> int:
 def run(argv: list[str], spark) -> object:  # noqa: ANN001
     """The command's result as what JSON can say."""
     a = parser().parse_args(argv)
-    embedder = CharacterEmbedder(a.embed_dim) if a.embed_dim else None
+    embedder = HttpEmbedder(a.embed_model, a.embed_host) if a.embed_model else CharacterEmbedder(a.embed_dim) if a.embed_dim else None
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     if a.command == "reindex":
         found = discovery.discover(spark, a.workspace, a.root, a.knowledge, a.exclude)
-        stats = index.reindex(spark, a.index, discovery.read_files(spark, found), a.knowledge, embedder, a.full, a.allow_empty)
+        stats = index.reindex(spark, a.index, discovery.read_files(found), a.knowledge, embedder, a.full, a.allow_empty)
         return {**stats.__dict__, "touched": stats.touched, "fully_embedded": stats.fully_embedded}
+    if a.command == "create":
+        return {"path": str(records.create(a.folder, a.slug, a.title, time.strftime("%Y-%m-%d"), tuple(a.repo), tuple(a.tag)))}
     if a.command == "status":
         return index.status(spark, a.index, a.knowledge, embedder)
     corpus, _ = index.open_corpus(spark, a.index)
@@ -85,15 +98,22 @@ def run(argv: list[str], spark) -> object:  # noqa: ANN001
     with open(a.judgements, encoding="utf-8") as f:
         judged = judgements.load(spark, f.read())
     evaluate.validate(judged, corpus.documents)
-    arms = []
+    arms, by_query = [], {}
     for name, channels in evaluate.ARMS.items():
         result = search(corpus, judged.select("query_id", "query"), channels, a.k, embedder=embedder)
         if result.degraded:
             arms.append({"arm": name, "available": False, "reason": result.degraded, "recall": None, "mrr": None})
             continue
-        scored = evaluate.scores(judged, result.hits, a.k)
-        arms += rows(evaluate.arm_summary(name, scored).withColumns({c: F.round(c, 4) for c in ("recall", "mrr")}))
-    return {"k": a.k, "arms": arms}
+        scored = stage(evaluate.scores(judged, result.hits, a.k), "scores")
+        arms += rows(evaluate.arm_summary(name, scored))
+        if a.per_query:
+            by_query[name] = rows(scored.select("query_id", F.round("recall", 4).alias("recall"), F.round("rr", 4).alias("rr"), "missed").orderBy("query_id"))
+    known = {x["arm"]: x for x in arms if x["available"]}
+    both = known.get("full"), known.get("lexical+vector")
+    delta = {c: round(both[0][c] - both[1][c], 4) for c in ("recall", "mrr")} if all(both) else None
+    for x in known.values():
+        x.update({c: round(x[c], 4) for c in ("recall", "mrr")})
+    return {"k": a.k, "queries": judged.count(), "arms": arms, "graph_delta": delta, **({"per_query": by_query} if a.per_query else {})}
 
 
 def main() -> int:

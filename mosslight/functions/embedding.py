@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import urllib.error
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +17,10 @@ from pyspark.sql import functions as F
 from mosslight import schema as S
 
 
+#: The names of this machine's own address.
+LOOPBACK = ("localhost", "127.0.0.1", "::1")
+
+
 class Embedder(Protocol):
     """Turns texts into vectors of one width. ``probe`` tells whether it can be reached."""
 
@@ -46,6 +54,51 @@ class CharacterEmbedder:
         return out
 
 
+class HttpEmbedder:
+    """A model behind a local HTTP service that takes ``{"model", "input"}`` and answers ``{"embeddings"}``.
+
+    Only this machine's own address is allowed and no proxy is used, so texts never leave it; on a
+    cluster every executor needs a service of its own. The width is learned from the first answer.
+    """
+
+    def __init__(self, model: str, host: str = "http://127.0.0.1:11434", path: str = "/api/embed", timeout: float = 120.0, probe_timeout: float = 10.0):
+        parts = urlsplit(host)
+        if parts.scheme not in ("http", "https") or parts.hostname not in LOOPBACK:
+            raise ValueError(f"{host!r} isn't an http address of this machine")
+        self.model, self._url, self._timeout, self._probe_timeout, self._dim = model, host.rstrip("/") + path, timeout, probe_timeout, 0
+
+    @property
+    def dim(self) -> int:
+        if not self._dim:
+            self._ask(["width"], self._probe_timeout)
+        return self._dim
+
+    def probe(self) -> bool:
+        try:
+            self._ask(["ready"], self._probe_timeout)
+        except (EmbeddingError, OSError):
+            return False
+        return True
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._ask(texts, self._timeout) if texts else []
+
+    def _ask(self, texts: list[str], timeout: float) -> list[list[float]]:
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        request = urllib.request.Request(self._url, body, {"Content-Type": "application/json"})
+        try:
+            with urllib.request.build_opener(urllib.request.ProxyHandler({})).open(request, timeout=timeout) as answer:
+                found = json.load(answer)["embeddings"]
+        except urllib.error.HTTPError as e:
+            raise EmbeddingError(f"{self._url} answered {e.code} for model {self.model}") from e
+        except (ValueError, KeyError, TypeError) as e:
+            raise EmbeddingError(f"{self._url} gave no embeddings") from e
+        if not isinstance(found, list) or not all(isinstance(v, list) and v and all(type(x) in (int, float) for x in v) for v in found):
+            raise EmbeddingError(f"{self._url} gave something other than lists of numbers")
+        self._dim = self._dim or len(found[0]) if found else self._dim
+        return checked(found, len(texts), self._dim).tolist()
+
+
 def checked(vectors: list[list[float]], n: int, dim: int) -> np.ndarray:
     """The answer as a matrix; raises if its count or width is off or a value isn't a finite number."""
     if len(vectors) != n:

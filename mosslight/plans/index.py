@@ -7,6 +7,7 @@ Locations are local or shared folders; the tables in them are Parquet and go thr
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
 import time
@@ -85,17 +86,19 @@ class RunStats:
 
 @contextmanager
 def writer_lock(root: str):  # noqa: ANN201
-    """Held for a run; a second writer is refused at once and not made to wait."""
+    """Held for a run; a second writer is refused at once and not made to wait.
+
+    The lock is the operating system's on an open file, so it ends with its process, however that
+    ends. The file stays: one that is deleted could be locked by two.
+    """
     os.makedirs(root, exist_ok=True)
     path = os.path.join(root, LOCK)
-    try:
-        os.close(os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
-    except FileExistsError:
-        raise IndexLocked(f"another run holds {path}") from None
-    try:
+    with open(path, "a", encoding="utf-8") as f:
+        try:
+            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+        except BlockingIOError:
+            raise IndexLocked(f"another run holds {path}") from None
         yield
-    finally:
-        os.unlink(path)
 
 
 def read_manifest(root: str) -> Manifest | None:
@@ -271,6 +274,8 @@ def status(spark: SparkSession, root: str, knowledge: str | None = None, embedde
     reasons = []
     if embedder is not None and manifest.embed_model and manifest.embed_model != embedder.model:
         reasons.append(f"vectors are from {manifest.embed_model}, queries from {embedder.model}")
+    if embedder is not None and manifest.embed_dim and embedder.probe() and embedder.dim != manifest.embed_dim:
+        reasons.append(f"vectors are {manifest.embed_dim} wide, those of {embedder.model} are {embedder.dim}")
     if row["coverage"] is not None and row["coverage"] < 1 and manifest.embed_status != "disabled":
         reasons.append("some chunks have no vector")
     if (manifest.knowledge_repo or None) != (knowledge or None):

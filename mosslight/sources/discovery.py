@@ -1,27 +1,32 @@
 """Which Markdown files make up a corpus, and a table of them.
 
-Folders are listed on the driver, as a registry and symbolic links can only be judged there;
-contents are read by Spark's ``binaryFile`` source.
+Folders are listed on the driver, as a registry and symbolic links to folders are judged while
+walking; files are looked at and read by tasks, each under a guard of its own, so one that
+can't be read is a row that says so.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import stat
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosslight import schema as S
 from mosslight.functions.text import excluded
+from mosslight.settings import Settings
 
 #: Folders that are never entered, folders of prose, files at a repository's root, registry names.
 SKIPPED = (".worktrees", "worktrees", "node_modules", ".git", "var", ".venv", ".pytest_cache", ".ruff_cache", ".mypy_cache", "__pycache__", "dist", "build")
 PROSE = ("docs", "decisions", "specs")
 ROOT_FILES = ("AGENTS.md", "CLAUDE.md", "README.md", "GOVERNANCE.md")
 REGISTRIES = (".corpus-repos.tsv",)
+#: Bytes of contents in one batch.
+READ_BYTES = 32 << 20
 WORKSPACE, SKILLS = "workspace", ".claude"
 
 
@@ -41,8 +46,13 @@ class RootsUnusable(ValueError):
     """None of the roots is a folder."""
 
 
-def read_registry(workspace: str | Path, names: tuple[str, ...] = REGISTRIES) -> list[str]:
-    """First column of the first registry that exists; blank lines skipped, repeats kept."""
+def read_registry(workspace: str | Path, names: tuple[str, ...] | None = None) -> list[str]:
+    """First column of the first registry that exists; blank lines skipped, repeats kept.
+
+    A name from the settings takes the place of the usual ones; nothing else is looked for then.
+    """
+    own = Settings.from_env().registry
+    names = names or ((own,) if own else REGISTRIES)
     found = next((p for n in names if (p := Path(workspace, n)).is_file()), None)
     if found is None:
         raise RegistryMissing(f"no registry ({' or '.join(names)}) in {workspace}")
@@ -118,22 +128,42 @@ def discover(spark: SparkSession, workspace: str | None = None, roots: list[str]
     return discover_roots(spark, roots, knowledge, excludes) if roots else discover_registry(spark, workspace or ".", knowledge, excludes)
 
 
-def read_files(spark: SparkSession, found: DataFrame, max_bytes: int = S.MAX_DOCUMENT_BYTES) -> DataFrame:
-    """``repo, path, mtime, size, is_symlink, content``; links and oversized files come without content.
+def read_files(found: DataFrame, max_bytes: int = S.MAX_DOCUMENT_BYTES) -> DataFrame:
+    """``repo, path, mtime, size, is_symlink, content``; links and oversized files come without content, and so do unreadable ones.
 
-    Sizes are judged by ``lstat`` before anything is read, and only files that pass are given
-    to the reader.
+    Tasks look at and read the files that were dealt to them. Sizes are judged by ``lstat`` before
+    anything is read; a file that can't be looked at has no size either. A batch holds some
+    megabytes or one file.
     """
-    rows = []
-    for r in found.toLocalIterator():
+    names = ["repo", "path", "mtime", "size", "is_symlink", "content"]
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_(), pa.binary())
+
+    def look(repo: str, path: str, where: str) -> tuple:
         try:
-            st = os.lstat(r["abs_path"])
+            st = os.lstat(where)
         except OSError:
-            continue
-        rows.append((r["repo"], r["path"], r["abs_path"], float(st.st_mtime), st.st_size, os.path.islink(r["abs_path"])))
-    listed = spark.createDataFrame(rows, "repo string, path string, abs_path string, mtime double, size long, is_symlink boolean")
-    readable = ["file://" + re.sub(r"([\[\]{}*?\\])", r"\\\1", r[2]) for r in rows if not r[5] and r[4] <= max_bytes]
-    if not readable:
-        return listed.select("repo", "path", "mtime", "size", "is_symlink", F.lit(None).cast("binary").alias("content"))
-    content = spark.read.format("binaryFile").load(readable).select(F.regexp_replace("path", "^file:/+", "/").alias("abs_path"), "content")
-    return listed.join(content, "abs_path", "left").select("repo", "path", "mtime", "size", "is_symlink", "content")
+            return repo, path, None, None, False, None
+        link, content = stat.S_ISLNK(st.st_mode), None
+        if not link and st.st_size <= max_bytes:
+            try:
+                with open(where, "rb") as f:
+                    content = f.read()
+            except OSError:
+                pass
+        return repo, path, float(st.st_mtime), st.st_size, link, content
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(look(*row))
+                size += len(held[-1][-1] or b"")
+                if size >= READ_BYTES:
+                    yield flush(held)
+                    held, size = [], 0
+        if held:
+            yield flush(held)
+
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return found.select("repo", "path", "abs_path").repartition(tasks, "abs_path").mapInArrow(run, "repo string, path string, mtime double, size long, is_symlink boolean, content binary")

@@ -1,12 +1,15 @@
+import json
 import random
 import sqlite3
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from mosslight import schema as S
-from mosslight.functions.embedding import CharacterEmbedder, EmbeddingError, checked, embed
+from mosslight.functions.embedding import CharacterEmbedder, EmbeddingError, HttpEmbedder, checked, embed
 from mosslight.functions.porter import stem
 from mosslight.operators import evaluate, fusion, graph, lexical, links, records, vectors
 from mosslight.plans.search import check_channels
@@ -275,3 +278,64 @@ def test_records(spark):
     for slug, source in (("Bad Slug", numbers()), ("taken", numbers()), ("x", numbers("9999"))):
         with pytest.raises(records.AllocationError):
             records.allocate(slug, have, source)
+
+
+def test_created_records(tmp_path):
+    (tmp_path / "INDEX.md").write_text("# Claims\n- 0003  old-one")
+    (tmp_path / "0003-old-one.md").write_text("x")
+    made = records.create(tmp_path, "dry-dock", "A dry dock", "2026-01-02", ("pier",), ("steel", "v2.0"), taken=(5,))
+    text = made.read_text()
+    assert made.name == "0006-dry-dock.md" and "# 0006: A dry dock" in text and "repos: [pier]\ntags: [steel, v2.0]" in text and "superseded_by: null" in text
+    assert (tmp_path / "INDEX.md").read_text() == "# Claims\n- 0003  old-one\n- 0006  dry-dock\n"
+    (tmp_path / "0009-lost.md").write_text("x")
+    for slug, options, why in (("dry-dock", {}, "exists"), ("lost", {}, "interrupted"), ("Bad", {}, "slug"), ("ok", {"tags": ("a: b",)}, "list"), ("ok", {"taken": (9999,)}, "taken")):
+        with pytest.raises(records.AllocationError, match=why):
+            records.create(tmp_path, slug, "t", "2026-01-02", **options)
+    (tmp_path / "INDEX.md").write_text("- 0010  other\n- 0011  twice\n")
+    real, calls = records._claims, []
+    records._claims = lambda index: real(index) + (["0012"] if calls.append(1) or len(calls) > 1 else [])
+    try:
+        with pytest.raises(records.AllocationError, match="twice"):
+            records.create(tmp_path, "late", "t", "2026-01-02")
+    finally:
+        records._claims = real
+    assert not (tmp_path / "0012-late.md").exists()
+    with pytest.raises(records.AllocationError, match="missing"):
+        records.create(tmp_path / "..", "ok", "t", "2026-01-02")
+
+
+def test_http_embedder(spark):
+    answers = {"mode": "good"}
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            vectors = [[float(len(t)), 1.0, 0.0] for t in asked["input"]]
+            vectors = {"short": vectors[1:], "empty": [[] for _ in vectors], "words": [["x"] * 3 for _ in vectors], "wide": [[1.0] * 4 for _ in vectors], "odd": 7}.get(answers["mode"], vectors)
+            self.send_response(404 if answers["mode"] == "lost" or asked["model"] != "m" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"embeddings": vectors}).encode() if answers["mode"] != "text" else b"hello")
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host = f"http://127.0.0.1:{server.server_port}"
+    try:
+        e = HttpEmbedder("m", host)
+        assert e.probe() and e.dim == 3 and e.embed([]) == []
+        df = spark.createDataFrame([(f"r{i}", "x" * i, i) for i in range(70)], "ref string, text string, chunk_seq int")
+        got = {r.ref: (r.chunk_seq, r.embedding) for r in embed(df, e, also=("chunk_seq",)).collect()}
+        assert got == {f"r{i}": (i, [float(i), 1.0, 0.0]) for i in range(70)}
+        for mode in ("short", "empty", "words", "wide", "odd", "text", "lost"):
+            answers["mode"] = mode
+            with pytest.raises(EmbeddingError):
+                e.embed(["a", "b"])
+        answers["mode"] = "good"
+        assert not HttpEmbedder("other", host).probe() and not HttpEmbedder("m", "http://127.0.0.1:1").probe()
+    finally:
+        server.shutdown()
+    for bad in ("http://10.0.0.1:80", "ftp://localhost", "localhost:80"):
+        with pytest.raises(ValueError, match="this machine"):
+            HttpEmbedder("m", bad)
