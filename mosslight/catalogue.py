@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from mosslight.functions import embedding, markdown, text
 from mosslight.operators import evaluate, fusion, graph, incremental, lexical, links, records, response, vectors
 from mosslight.plans import views
+from mosslight.plans.index import lexical_upkeep
 from mosslight.plans.oracle_views import ITERATIONS, fused, sql
 from mosslight.plans.search import Corpus, search, with_context
 from mosslight.sources.discovery import in_scope
-from mosslight.staging import stage
+from mosslight.staging import generation, stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -150,6 +151,24 @@ def sections_breadcrumb(spark: SparkSession, d: str) -> DataFrame:
     return markdown.sections_sql(docs).select("path", F.col("section").cast("long").alias("section"), "heading_path", F.md5(F.encode("body", "UTF-8")).alias("body_md5"))
 
 
+@query(
+    sql(
+        r"""SELECT path, row_number() OVER (PARTITION BY path ORDER BY grp) - 1 AS seq, heading_path, md5(body) AS body_md5 FROM (
+ SELECT path, grp, string_agg(body, chr(10) || chr(10) ORDER BY section) AS body, arg_min(heading, CASE WHEN is_head THEN section ELSE 1000 + section END) AS heading_path FROM (
+  SELECT *, greatest(1, sum(CAST(is_head AS INT)) OVER (PARTITION BY path ORDER BY section)) AS grp FROM (
+   SELECT *, section = first_head OR section > first_head AND length(body) >= 200 AS is_head FROM (
+    SELECT *, min(CASE WHEN reached >= 200 THEN section END) OVER (PARTITION BY path) AS first_head FROM (
+     SELECT *, sum(length(body) + 2) OVER (PARTITION BY path ORDER BY section) - 2 AS reached FROM (
+      SELECT path, section, CASE section WHEN 0 THEN title WHEN 1 THEN title || ' > Links' ELSE title || ' > Links > Body' END AS heading, trim(body, chr(10) || ' ' || chr(9)) AS body FROM (
+       SELECT path, title, unnest([0, 1, 2]) AS section, unnest(['# ' || title, regexp_extract(link_text, '(?s)(## Links.*?)\n### Body', 1), substr(link_text, position(chr(10) || '### Body' IN link_text) + 1)]) AS body FROM md_docs)))))) GROUP BY path, grp)""",
+        "md_docs",
+    )
+)
+def sections_merged(spark: SparkSession, d: str) -> DataFrame:
+    made = markdown.merged_sections(views.md_docs(spark, d).select("path", "title", F.col("link_text").alias("text")))
+    return made.select("path", "seq", "heading_path", F.md5(F.encode("body", "UTF-8")).alias("body_md5"))
+
+
 @query()
 def parse_markdown(spark: SparkSession, d: str) -> DataFrame:
     parsed = markdown.parse_documents(views.md_docs(spark, d).select("path", F.col("link_text").alias("text")))
@@ -161,6 +180,29 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return views.chunks(spark, d).select("ref", text.snippet(F.col("body")).alias("snippet"), text.citation(F.col("path"), F.col("heading_path")).alias("citation"))
 
 
+@query(sql("SELECT ref, md5(heading_path || chr(10) || chr(10) || body) AS text_md5, CAST(ceil(length(body) / 4.0) AS BIGINT) AS tokens FROM chunks", "chunks"))
+def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What is embedded of every chunk, and its length in tokens, roughly."""
+    c = views.chunks(spark, d)
+    made = embedding.chunk_text(c).select("ref", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+    return made.join(c.select("ref", text.approx_tokens(F.col("body")).alias("tokens")), "ref")
+
+
+@query("SELECT doc_id, md5(text || chr(65533) || 'x') AS text_md5 FROM documents")
+def lenient_decoding(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with a stray byte in them, decoded."""
+    bad = F.concat(F.encode("text", "UTF-8"), F.lit(bytearray(b"\xffx")))
+    return views.table(spark, d, "documents").select("doc_id", F.md5(F.encode(text.decode_lenient(bad), "UTF-8")).alias("text_md5"))
+
+
+@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'null ' || source WHEN 4 THEN source ELSE '0' END AS value FROM documents")
+def clean_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Words that stand for nothing become null, whatever their case and the blanks around them."""
+    n = F.col("doc_id") % 6
+    raw = F.when(n == 0, " NULL ").when(n == 1, " ~").when(n == 2, "None").when(n == 3, F.concat(F.lit(" null "), "source")).when(n == 4, F.concat("source", F.lit("  "))).otherwise("0")
+    return views.table(spark, d, "documents").select("doc_id", text.clean_scalar(raw).alias("value"))
+
+
 # Links
 
 
@@ -257,16 +299,26 @@ def _index(spark: SparkSession, d: str, stemmed: bool = False) -> tuple[lexical.
 
 @query(sql("SELECT query_id, ref, round(score, 6) AS score, rank FROM lexical", "lexical"))
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    index, chunks = _index(spark, d)
-    return lexical.bm25_topk(index, views.queries(spark, d), chunks).select("query_id", "ref", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    c = corpus(spark, d)
+    return lexical.bm25_topk(c.lexical, views.queries(spark, d), c.chunks).select("query_id", "ref", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(sql("SELECT query_id, ref, round(2 * score, 6) AS score FROM bm25", "bm25"))
 def bm25_duplicate_terms(spark: SparkSession, d: str) -> DataFrame:
     """Every query twice over: each term counts twice."""
-    index, _ = _index(spark, d)
     twice = views.queries(spark, d).select("query_id", F.concat_ws(" ", "query", "query").alias("query"))
-    return lexical.bm25(index, twice).withColumns(six("score"))
+    return lexical.bm25(corpus(spark, d).lexical, twice).withColumns(six("score"))
+
+
+@query(sql("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM postings JOIN (SELECT ref, doc_id FROM chunks) USING (ref) WHERE doc_id % 13 <> 0 GROUP BY term", "postings", "chunks"))
+def index_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of unchanged documents carried over, those of changed and new ones made anew, those of removed ones gone."""
+    old, new = _snapshots(spark, d)
+    chunks, changes = stage(views.chunks(spark, d), "chunks"), stage(incremental.diff(old, new), "changes")
+    of = lambda docs: chunks.join(docs.select("path"), "path", "left_semi")
+    before = Corpus(old, of(old), lexical.build(of(old)), chunks)
+    now = lexical_upkeep(before, of(new), of(incremental.fresh_paths(changes)), changes, False)
+    return now.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
 @query()
@@ -342,11 +394,19 @@ def adjacency_normalized(spark: SparkSession, d: str) -> DataFrame:
     return graph.normalized(graph.adjacency(views.doc_links(spark, d))).withColumns(six("share"))
 
 
-def _corpus(spark: SparkSession, d: str) -> Corpus:
-    index, chunks = _index(spark, d)
-    edges = stage(views.doc_links(spark, d), "edges")
-    docs = stage(views.documents(spark, d), "documents")
-    return Corpus(docs, chunks, index, edges, stage(views.vectors(spark, d, chunks), "vectors"), "given", 64)
+_CORPORA: dict = {}
+
+
+def corpus(spark: SparkSession, d: str) -> Corpus:
+    """The engine's tables of ``d``, built once a session and kept as work tables until these are cleared."""
+    key = (spark.sparkContext.applicationId, d, generation())
+    if key not in _CORPORA:
+        _CORPORA.clear()
+        index, chunks = _index(spark, d)
+        edges = stage(views.doc_links(spark, d), "edges")
+        docs = stage(views.documents(spark, d), "documents")
+        _CORPORA[key] = Corpus(docs, chunks, index, edges, stage(views.vectors(spark, d, chunks), "vectors"), "given", 64)
+    return _CORPORA[key]
 
 
 def _base(spark: SparkSession, d: str, c: Corpus) -> DataFrame:
@@ -356,54 +416,38 @@ def _base(spark: SparkSession, d: str, c: Corpus) -> DataFrame:
 
 @query(sql("SELECT query_id, node, round(rank, 6) AS rank FROM ranks", "ranks"))
 def ppr_fixed_iter(spark: SparkSession, d: str) -> DataFrame:
-    c = _corpus(spark, d)
+    c = corpus(spark, d)
     seeds = graph.seed_documents(_base(spark, d, c), c.chunks)
     return graph.pagerank_fixed(graph.adjacency(c.edges), seeds, ITERATIONS).withColumns(six("rank"))
 
 
-@query()
+@query(sql("SELECT query_id, node, round(rank, 6) AS rank FROM ranks_full WHERE rank > 0", "ranks_full"))
 def ppr_converged(spark: SparkSession, d: str) -> DataFrame:
-    c = _corpus(spark, d)
+    c = corpus(spark, d)
     seeds = graph.seed_documents(_base(spark, d, c), c.chunks)
     return graph.pagerank(graph.adjacency(c.edges), seeds).withColumns(six("rank"))
 
 
 @query(sql("SELECT query_id, ref, rank FROM votes", "votes"))
 def ppr_chunk_votes(spark: SparkSession, d: str) -> DataFrame:
-    c = _corpus(spark, d)
+    c = corpus(spark, d)
     base = _base(spark, d, c)
     ranks = graph.pagerank_fixed(graph.adjacency(c.edges), graph.seed_documents(base, c.chunks), ITERATIONS)
     return graph.votes(ranks, base, c.chunks).withColumn("rank", F.col("rank").cast("long"))
 
 
-# Every document is superseded by its successor's number at most once, so a chain has one step each way here
-
-
-_CHAIN = """SELECT src_path AS path, dst_path AS other, 'superseded_by' AS relation FROM edges WHERE relation = 'superseded_by'
- UNION ALL SELECT dst_path, src_path, 'supersedes' FROM edges WHERE relation = 'superseded_by'"""
-_NEAR = """SELECT path, other, max(relation) AS relation FROM (SELECT src_path AS path, dst_path AS other, 'links_to' AS relation FROM edges WHERE relation = 'links_to'
- UNION ALL SELECT dst_path, src_path, 'linked_from' FROM edges WHERE relation = 'links_to') WHERE path <> other GROUP BY ALL"""
-
-
-@query(sql(_CHAIN, "edges"))
+@query(sql("SELECT path, other, relation, CAST(hop AS BIGINT) AS hop, pos FROM chain", "chain"))
 def supersedence_chain(spark: SparkSession, d: str) -> DataFrame:
-    return graph.supersedence_chain(views.doc_links(spark, d), views.corpus_docs(spark, d)).select("path", "other", "relation")
+    found = graph.supersedence_chain(views.doc_links(spark, d), views.corpus_docs(spark, d))
+    return found.select("path", "other", "relation", F.col("hop").cast("long").alias("hop"), F.col("pos").cast("long").alias("pos"))
 
 
-@query(sql(_NEAR, "edges"))
+@query(sql("SELECT * FROM near", "near"))
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(views.doc_links(spark, d), views.corpus_docs(spark, d))
 
 
-@query(
-    sql(
-        f"""SELECT a.path, a.pos, a.other, d.title, d.repo, a.relation FROM (SELECT path, other, relation, row_number() OVER (PARTITION BY path ORDER BY tier, other) AS pos FROM (
- SELECT path, other, relation, CASE relation WHEN 'superseded_by' THEN 0 ELSE 1 END AS tier FROM ({_CHAIN})
- UNION ALL SELECT path, other, relation, CASE relation WHEN 'links_to' THEN 2 ELSE 3 END FROM ({_NEAR}) WHERE (path, other) NOT IN (SELECT (path, other) FROM ({_CHAIN})))) a JOIN corpus_docs d ON d.path = a.other WHERE pos <= 8""",
-        "edges",
-        "corpus_docs",
-    )
-)
+@query(sql("SELECT * FROM context", "context"))
 def assembled_context(spark: SparkSession, d: str) -> DataFrame:
     c = views.corpus_docs(spark, d)
     return graph.context(stage(views.doc_links(spark, d), "edges"), c, c).withColumn("pos", F.col("pos").cast("long"))
@@ -414,12 +458,12 @@ def assembled_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT query_id, ref, round(score, 6) AS score, base_rank FROM base", "base"))
 def rrf_two(spark: SparkSession, d: str) -> DataFrame:
-    return _base(spark, d, _corpus(spark, d)).select("query_id", "ref", F.round("score", 6).alias("score"), F.col("base_rank").cast("long").alias("base_rank"))
+    return _base(spark, d, corpus(spark, d)).select("query_id", "ref", F.round("score", 6).alias("score"), F.col("base_rank").cast("long").alias("base_rank"))
 
 
 @query(sql("SELECT query_id, ref, round(sum(part), 6) AS score FROM (SELECT query_id, ref, 1.0::DOUBLE / (60 + rank) AS part FROM lexical UNION ALL SELECT query_id, ref, (SELECT coverage FROM coverage) / (60 + rank) FROM vector) GROUP BY ALL", "lexical", "vector", "coverage"))
 def rrf_weighted(spark: SparkSession, d: str) -> DataFrame:
-    c = _corpus(spark, d)
+    c = corpus(spark, d)
     lists = search(c, views.queries(spark, d), ("lexical", "vector"), query_vectors=views.query_vectors(spark, d)).lists
     weight = vectors.coverage(c.chunks, c.vectors).first()["coverage"]
     return fusion.rrf({"lexical": (lists["lexical"], 1.0), "vector": (lists["vector"], weight)}).withColumns(six("score"))
@@ -433,13 +477,13 @@ def recency_factor(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT query_id, ref, round(score * (1 + 0.25::DOUBLE * recency) * CASE WHEN is_superseded THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END, 6) AS boosted, is_superseded FROM bm25 JOIN lengths USING (ref) JOIN dated USING (path)", "bm25", "dated"))
 def boosted_scores(spark: SparkSession, d: str) -> DataFrame:
-    c = _corpus(spark, d)
+    c = corpus(spark, d)
     scored = lexical.bm25(c.lexical, views.queries(spark, d))
     return fusion.boosted(scored, c.chunks, c.documents, c.edges, F.lit(views.AS_OF).cast("date")).select("query_id", "ref", F.round("boosted", 6).alias("boosted"), "is_superseded")
 
 
 def _search(spark: SparkSession, d: str, *channels: str):  # noqa: ANN202
-    c = _corpus(spark, d)
+    c = corpus(spark, d)
     return c, search(c, views.queries(spark, d), channels, as_of=F.lit(views.AS_OF).cast("date"), query_vectors=views.query_vectors(spark, d))
 
 
@@ -469,7 +513,7 @@ def search_lexical_vector(spark: SparkSession, d: str) -> DataFrame:
     return _hits(_search(spark, d, "lexical", "vector")[1].hits)
 
 
-@query()
+@query(_hits_sql(("lexical", "1.0::DOUBLE"), ("vector", _COVERAGE), ("votes_full", "0.5::DOUBLE")))
 def search_full(spark: SparkSession, d: str) -> DataFrame:
     return _hits(_search(spark, d, "lexical", "vector", "graph")[1].hits)
 
@@ -477,7 +521,7 @@ def search_full(spark: SparkSession, d: str) -> DataFrame:
 @query(_hits_sql(("lexical", "1.0::DOUBLE"), ("vector", _COVERAGE), ("votes", "0.5::DOUBLE")))
 def search_full_fixed_iter(spark: SparkSession, d: str) -> DataFrame:
     """The full search with a fixed number of PageRank iterations."""
-    c = _corpus(spark, d)
+    c = corpus(spark, d)
     lists = search(c, views.queries(spark, d), ("lexical", "vector"), query_vectors=views.query_vectors(spark, d)).lists
     base = stage(fusion.base_ranking([lists["lexical"], lists["vector"]]), "base")
     ranks = graph.pagerank_fixed(graph.adjacency(c.edges), graph.seed_documents(base, c.chunks), ITERATIONS)
@@ -499,15 +543,57 @@ def search_mode(spark: SparkSession, d: str) -> DataFrame:
     return _search(spark, d, "lexical", "vector")[1].responses.select("query_id", "mode")
 
 
-@query()
+@query(
+    sql(
+        f"""SELECT p.query_id, p.position, p.ref, p.path, c.assembled FROM ({fused(("lexical", "1.0::DOUBLE"), ("vector", _COVERAGE))}) p
+ LEFT JOIN (SELECT path, CAST(to_json(list(struct_pack(title := title, repo := repo, path := other, relation := relation) ORDER BY pos)) AS VARCHAR) AS assembled FROM context GROUP BY path) c USING (path) WHERE position <= 10""",
+        "lexical", "vector", "chunks", "dated", "coverage", "context",
+    )
+)
 def search_with_context(spark: SparkSession, d: str) -> DataFrame:
     c, result = _search(spark, d, "lexical", "vector")
-    return with_context(result, c).select("query_id", "position", "ref", "path", F.to_json("assembled").alias("assembled"))
+    return with_context(result, c).select("query_id", F.col("position").cast("long").alias("position"), "ref", "path", F.to_json("assembled").alias("assembled"))
+
+
+@query(
+    sql(
+        """SELECT item_id AS query_id, CASE WHEN l AND v THEN 'lexical+vector' WHEN l THEN 'lexical' WHEN v THEN 'vector' ELSE 'none' END AS mode, CASE WHEN v THEN round((SELECT coverage FROM coverage), 6) END AS vector_coverage FROM (
+ SELECT item_id, item_id IN (SELECT query_id FROM lexical) AS l, item_id % 2 = 0 AND item_id IN (SELECT query_id FROM vector) AS v FROM benchmark)""",
+        "lexical", "vector", "coverage",
+    )
+)
+def search_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Responses where only every other query has a vector."""
+    half = views.query_vectors(spark, d).where("query_id % 2 = 0")
+    found = search(corpus(spark, d), views.queries(spark, d), ("lexical", "vector"), as_of=F.lit(views.AS_OF).cast("date"), query_vectors=half).responses
+    return found.select("query_id", "mode", F.round("vector_coverage", 6).alias("vector_coverage"))
 
 
 # Responses
 
 
+@query(sql("SELECT path, path IN (SELECT src_path FROM edges WHERE relation = 'superseded_by') AS is_superseded, superseded_by IS NOT NULL AND path NOT IN (SELECT src_path FROM edges WHERE relation = 'superseded_by') AS supersedence_unresolved FROM corpus_docs", "corpus_docs", "edges"))
+def supersedence_states(spark: SparkSession, d: str) -> DataFrame:
+    """Current, superseded, or superseded by something that isn't there: of every document, as its hits say it."""
+    c = corpus(spark, d)
+    first = c.chunks.groupBy("path").agg(F.min_by("ref", "chunk_seq").alias("ref"))
+    found = response.get_chunks(first.select("ref"), c.chunks, c.documents, c.edges)
+    return found.select("path", "is_superseded", "supersedence_unresolved")
+
+
+@query(
+    sql(
+        f"""SELECT p.query_id, p.position, p.path || '#' || c.heading_path AS citation, CASE WHEN length(s) <= 240 THEN s ELSE rtrim(substr(s, 1, 239)) || '…' END AS snippet, k.doc_type, k.superseded_by IS NOT NULL AND NOT p.is_superseded AS supersedence_unresolved, round(p.boosted, 6) AS score
+ FROM ({fused(("lexical", "1.0::DOUBLE"))}) p JOIN (SELECT ref, heading_path, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS s FROM chunks) c USING (ref) JOIN doc_kinds k ON k.path = p.path WHERE position <= 10""",
+        "lexical", "chunks", "dated", "doc_kinds",
+    )
+)
+def hit_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """Hits as JSON objects, and what a reader finds in them."""
+    packed = response.payload(_search(spark, d, "lexical")[1].hits)
+    return packed.select(F.from_json("payload", "query_id long, position long, citation string, snippet string, doc_type string, supersedence_unresolved boolean, score double").alias("x")).select("x.*")
+
+
 @query(sql("SELECT c.ref, c.path || '#' || c.heading_path AS citation, d.repo, c.body, d.path IN (SELECT src_path FROM edges WHERE relation = 'superseded_by') AS is_superseded FROM chunks c JOIN corpus_docs d ON d.path = c.path", "chunks", "corpus_docs", "edges"))
 def get_chunk(spark: SparkSession, d: str) -> DataFrame:
     """Lookups by reference, of all references there are."""
@@ -531,27 +617,32 @@ def hit_payload_json(spark: SparkSession, d: str) -> DataFrame:
 # Evaluation, status, allocation
 
 
-_TOP = _hits_sql(("lexical", "1.0::DOUBLE")).replace("SELECT query_id, position, ref, path, is_superseded, round(boosted, 6) AS score FROM (", "SELECT query_id, path, position FROM (")
+_PARTS = {
+    "lexical": (("lexical", "1.0::DOUBLE"),),
+    "lexical+graph": (("lexical", "1.0::DOUBLE"), ("votes_plain", "0.5::DOUBLE")),
+    "lexical+vector": (("lexical", "1.0::DOUBLE"), ("vector", _COVERAGE)),
+    "full": (("lexical", "1.0::DOUBLE"), ("vector", _COVERAGE), ("votes_full", "0.5::DOUBLE")),
+}
 
 
-def _with_top(body: str) -> str:
-    from mosslight.plans.oracle_views import VIEWS
+def _scores_sql(arm: str) -> str:
+    """Recall and reciprocal rank of every judged query in one arm."""
+    top = f"SELECT query_id, path, min(position) AS position FROM ({fused(*_PARTS[arm])}) WHERE position <= 10 GROUP BY ALL"
+    return f"SELECT j.query_id, count(t.position)::DOUBLE / count(*) AS recall, coalesce(1.0::DOUBLE / min(t.position), 0) AS rr FROM judged j LEFT JOIN ({top}) t USING (query_id, path) GROUP BY j.query_id"
 
-    VIEWS["top_lexical"] = (("lexical", "chunks", "dated", "coverage"), f"SELECT query_id, path, position FROM ({fused(('lexical', '1.0::DOUBLE'))}) WHERE position <= 10")
-    return sql(body, "top_lexical", "judged")
 
+_NEEDED = ("lexical", "vector", "votes_plain", "votes_full", "chunks", "dated", "coverage", "judged")
+_ARMS = " UNION ALL ".join(f"SELECT '{arm}' AS arm, true AS available, CAST(NULL AS VARCHAR) AS reason, avg(recall) AS recall, avg(rr) AS mrr FROM ({_scores_sql(arm)})" for arm in evaluate.ARMS)
 
-_SCORES = "SELECT j.query_id, count(t.position)::DOUBLE / count(*) AS recall, coalesce(1.0::DOUBLE / min(t.position), 0) AS rr FROM judged j LEFT JOIN (SELECT query_id, path, min(position) AS position FROM top_lexical GROUP BY ALL) t USING (query_id, path) GROUP BY j.query_id"
 
-
-@query(_with_top(f"SELECT query_id, round(recall, 6) AS recall, round(rr, 6) AS rr FROM ({_SCORES})"))
+@query(sql(f"SELECT query_id, round(recall, 6) AS recall, round(rr, 6) AS rr FROM ({_scores_sql('lexical')})", "lexical", "chunks", "dated", "judged"))
 def eval_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     _, result = _search(spark, d, "lexical")
     return evaluate.scores(views.judgements(spark, d), result.hits).select("query_id", F.round("recall", 6).alias("recall"), F.round("rr", 6).alias("rr"))
 
 
 def _arms(spark: SparkSession, d: str) -> DataFrame:
-    c = _corpus(spark, d)
+    c = corpus(spark, d)
     judged = stage(views.judgements(spark, d), "judged")
     wanted = stage(views.queries(spark, d).join(judged.select("query_id"), "query_id", "left_semi"), "queries")
     rows = None
@@ -565,12 +656,12 @@ def _arms(spark: SparkSession, d: str) -> DataFrame:
     return rows
 
 
-@query()
+@query(sql(f"SELECT arm, available, reason, round(recall, 4) AS recall, round(mrr, 4) AS mrr FROM ({_ARMS})", *_NEEDED))
 def eval_ablation(spark: SparkSession, d: str) -> DataFrame:
     return _arms(spark, d).withColumns({c: F.round(c, 4) for c in ("recall", "mrr")})
 
 
-@query()
+@query(sql(f"SELECT round(f.recall - v.recall, 4) AS recall_delta, round(f.mrr - v.mrr, 4) AS mrr_delta FROM (SELECT * FROM ({_ARMS}) WHERE arm = 'full') f, (SELECT * FROM ({_ARMS}) WHERE arm = 'lexical+vector') v", *_NEEDED))
 def graph_delta(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.deltas(_arms(spark, d)).withColumns({c: F.round(c, 4) for c in ("recall_delta", "mrr_delta")})
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mosslight import schema as S
 from mosslight.functions.porter import stems
 from mosslight.functions.text import folded_tokens, query_terms, tokens
+from mosslight.staging import stage
 
 
 @dataclass
@@ -64,17 +65,19 @@ def weight(tf: Column, dl: Column, avgdl: Column) -> Column:
 def bm25(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """``query_id, ref, score`` of every chunk that shares a term with a query.
 
-    A term that a query repeats counts as often. The queries' terms select postings by a join on
-    the term (broadcast by the planner while the batch of queries is small), so the rest of the
-    index isn't read past its filter.
+    A term that a query repeats counts as often. The batch's distinct terms select postings by a
+    join on the term (broadcast by the planner while they are few), so the rest of the index isn't
+    read past its filter. Each posting is weighted once, whatever the number of queries, and
+    dealt out by its chunk before it meets the queries: so scores are summed where they arise.
     """
     wanted = terms(queries, F.col("query"), ["query_id"], index.stemmed) if index.stemmed else queries.select("query_id", F.posexplode(query_terms(F.col("query"))).alias("pos", "term"))
-    counted = wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")).join(index.frequencies, "term")
-    hits = index.postings.join(counted, "term").join(index.lengths, "ref")
+    counted = stage(wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf")), "query_terms")
     one = index.stats.select("n_docs", "avgdl").first()  # two numbers, as constants of the plan
     n_docs, avgdl = F.lit(one["n_docs"]), F.lit(one["avgdl"]).cast("double")
-    value = F.sum(F.col("qtf") * idf(n_docs, F.col("df")) * weight(F.col("tf"), F.col("dl"), avgdl)).alias("score")
-    return hits.groupBy("query_id", "ref").agg(value)
+    rare = counted.select("term").distinct().join(index.frequencies, "term").select("term", idf(n_docs, F.col("df")).alias("idf"))
+    selected = index.postings.join(rare, "term").join(index.lengths, "ref")
+    weighted = selected.select("ref", "term", (F.col("idf") * weight(F.col("tf"), F.col("dl"), avgdl)).alias("w")).repartition("ref")
+    return weighted.join(counted, "term").groupBy("query_id", "ref").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
 
 
 def ranked(scored: DataFrame, order: DataFrame, k: int = S.POOL, digits: int = 9) -> DataFrame:

@@ -158,7 +158,7 @@ def _current_vectors(old: Corpus, chunks: DataFrame, changes: DataFrame) -> Data
     return old.vectors.join(chunks.select("ref"), "ref", "left_semi").join(stale.select("ref"), "ref", "left_anti")
 
 
-def _lexical(old: Corpus | None, chunks: DataFrame, new_chunks: DataFrame, changes: DataFrame, stemmed: bool) -> lexical.LexicalIndex:
+def lexical_upkeep(old: Corpus | None, chunks: DataFrame, new_chunks: DataFrame, changes: DataFrame, stemmed: bool) -> lexical.LexicalIndex:
     """The inverted index of ``chunks``; only new chunks are tokenised, postings of unchanged documents are carried over."""
     if old is None:
         return lexical.build(chunks, stemmed)
@@ -222,7 +222,7 @@ def reindex(spark: SparkSession, root: str, files: DataFrame, knowledge: str | N
         resolved = stage(links.resolve(targets, documents), "resolved")
         save("doc_links", links.edges(resolved))
 
-        index = _lexical(old if keep else None, chunks, new_chunks, changes, stemmed)
+        index = lexical_upkeep(old if keep else None, chunks, new_chunks, changes, stemmed)
         postings = save("postings", index.postings.repartitionByRange("term").sortWithinPartitions("term"))
         index = lexical.from_tables(postings, save("lengths", index.lengths), stemmed)
         save("frequencies", index.frequencies)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_PATH = """CASE WHEN doc_id % 10 = 3 THEN source || '/decisions/' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '-rec.md'
+_PATH = """CASE WHEN doc_id % 10 = 3 THEN source || '/decisions/' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') || '-rec-' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.md'
   WHEN doc_id % 10 = 7 THEN source || '/tasks/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.md'
   ELSE source || '/docs/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.md' END"""
 
@@ -14,7 +14,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
   CASE WHEN doc_id % 50 = 49 THEN 'Shared Title' ELSE 'Doc ' || CAST(doc_id AS VARCHAR) END AS title,
   CAST(1704067200 + doc_id * 3600 AS DOUBLE) AS mtime,
   CASE WHEN doc_id % 3 = 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 400 AS INT), '%Y-%m-%d') END AS decided_on,
-  CASE WHEN doc_id % 45 = 0 THEN 'gone-' || CAST(doc_id AS VARCHAR) WHEN doc_id % 15 = 0 THEN lpad(CAST(doc_id + 1 AS VARCHAR), 8, '0') END AS superseded_by, text FROM documents""",
+  CASE WHEN doc_id % 45 = 0 THEN 'gone-' || CAST(doc_id AS VARCHAR) WHEN doc_id % 20 IN (4, 5, 14, 15, 16, 17) THEN lpad(CAST(doc_id + 1 AS VARCHAR), 8, '0')
+    WHEN doc_id % 20 IN (6, 8) THEN lpad(CAST(doc_id - 2 AS VARCHAR), 8, '0') WHEN doc_id % 15 = 0 THEN lpad(CAST(doc_id + 1 AS VARCHAR), 8, '0') END AS superseded_by, text FROM documents""",
     ),
     "doc_kinds": (
         ("corpus_docs",),
@@ -96,12 +97,7 @@ UNION SELECT path, superseded_by, 'superseded_by' FROM md_docs WHERE superseded_
         "SELECT src, dst, max(w) AS weight FROM (SELECT src_path AS src, dst_path AS dst, 1.0::DOUBLE AS w FROM edges UNION ALL SELECT dst_path, src_path, 0.5::DOUBLE FROM edges) GROUP BY src, dst",
     ),
     "shares": (("adjacency",), "SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM adjacency"),
-    "queries": (
-        (),
-        r"""SELECT query_id, string_agg(w, ' ' ORDER BY n) AS query FROM (
- SELECT item_id AS query_id, w, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, w) AS n FROM (
-  SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}]+')) AS w FROM benchmark)) WHERE n <= 5 GROUP BY query_id""",
-    ),
+    "queries": ((), "SELECT item_id AS query_id, text AS query FROM benchmark"),
     "query_words": (("queries",), r"SELECT query_id, w AS term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}\p{Co}]+')) AS w FROM queries) GROUP BY ALL"),
     "chunk_terms": (("chunks",), r"SELECT ref, path, chunk_seq, unnest(regexp_extract_all(lower(body || ' ' || heading_path), '[\p{L}\p{N}\p{Co}]+')) AS term FROM chunks"),
     "lengths": (("chunks",), r"SELECT ref, path, chunk_seq, CAST(len(regexp_extract_all(lower(body || ' ' || heading_path), '[\p{L}\p{N}\p{Co}]+')) AS BIGINT) AS dl FROM chunks"),
@@ -140,9 +136,34 @@ FROM query_words JOIN postings USING (term) JOIN frequencies USING (term) JOIN l
         """SELECT path, pow(2.0::DOUBLE, -greatest(0, date_diff('day', coalesce(TRY_CAST(decided_on AS DATE), CAST(to_timestamp(mtime) AT TIME ZONE 'UTC' AS DATE)), DATE '2026-01-01'))::DOUBLE / 180.0::DOUBLE) AS recency,
  path IN (SELECT src_path FROM edges WHERE relation = 'superseded_by') AS is_superseded FROM corpus_docs""",
     ),
-    "judged": (
-        ("corpus_docs",),
-        "SELECT DISTINCT query_id, path FROM (SELECT item_id AS query_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) JOIN (SELECT path, unnest(string_split(text, chr(10))) AS line FROM corpus_docs) USING (line) WHERE line <> ''",
+    "judged": (("corpus_docs",), "SELECT item_id AS query_id, path FROM benchmark JOIN corpus_docs ON contains(corpus_docs.text, benchmark.text)"),
+    "sup": (("edges",), "SELECT src_path AS src, dst_path AS dst FROM edges WHERE relation = 'superseded_by'"),
+    "walk_forward": (
+        ("sup",),
+        """SELECT src AS path, dst AS other, 1 AS hop, [src, dst] AS trail FROM sup
+ UNION ALL SELECT w.path, s.dst, w.hop + 1, list_append(w.trail, s.dst) FROM walk_forward w JOIN sup s ON s.src = w.other WHERE NOT list_contains(w.trail, s.dst)""",
+    ),
+    "forward": (("walk_forward",), "SELECT path, other, min(hop) AS hop FROM walk_forward GROUP BY ALL"),
+    "walk_back": (
+        ("sup", "forward"),
+        """SELECT dst AS path, src AS other, 1 AS hop, [dst, src] AS trail FROM sup WHERE NOT EXISTS (SELECT 1 FROM forward f WHERE f.path = sup.dst AND f.other = sup.src)
+ UNION ALL SELECT w.path, s.src, w.hop + 1, list_append(w.trail, s.src) FROM walk_back w JOIN sup s ON s.dst = w.other LEFT JOIN forward f ON f.path = w.path AND f.other = s.src WHERE f.path IS NULL AND NOT list_contains(w.trail, s.src)""",
+    ),
+    "chain": (
+        ("forward", "walk_back"),
+        """SELECT path, other, relation, hop, row_number() OVER (PARTITION BY path ORDER BY relation, hop, other) AS pos FROM (
+ SELECT path, other, 'superseded_by' AS relation, hop FROM forward UNION ALL SELECT path, other, 'supersedes', min(hop) FROM walk_back GROUP BY path, other)""",
+    ),
+    "near": (
+        ("edges",),
+        """SELECT path, other, max(relation) AS relation FROM (SELECT src_path AS path, dst_path AS other, 'links_to' AS relation FROM edges WHERE relation = 'links_to'
+ UNION ALL SELECT dst_path, src_path, 'linked_from' FROM edges WHERE relation = 'links_to') WHERE path <> other GROUP BY ALL""",
+    ),
+    "context": (
+        ("chain", "near", "corpus_docs"),
+        """SELECT a.path, a.n AS pos, a.other, d.title, d.repo, a.relation FROM (SELECT path, other, relation, row_number() OVER (PARTITION BY path ORDER BY tier, pos, other) AS n FROM (
+ SELECT path, other, relation, 0 AS tier, pos FROM chain
+ UNION ALL SELECT path, other, relation, CASE relation WHEN 'links_to' THEN 1 ELSE 2 END, 0 FROM near WHERE (path, other) NOT IN (SELECT (path, other) FROM chain))) a JOIN corpus_docs d ON d.path = a.other WHERE n <= 8""",
     ),
 }
 
@@ -157,13 +178,42 @@ for _i in range(1, ITERATIONS + 1):
   UNION ALL SELECT query_id, node, 0.15::DOUBLE * p FROM seeds) GROUP BY query_id, node""",
     )
 VIEWS["ranks"] = ((f"rank_{ITERATIONS}",), f"SELECT * FROM rank_{ITERATIONS}")
-VIEWS["votes"] = (
-    ("ranks", "base", "chunks"),
+
+
+def _votes(ranks: str, base: str) -> tuple[tuple[str, ...], str]:
+    return (ranks, base, "chunks"), _VOTES.replace("FROM ranks", f"FROM {ranks}").replace("JOIN base b", f"JOIN {base} b")
+
+
+def _converged(name: str, base: str) -> None:
+    """Views of the graph channel over a base ranking: seeds, all iterations, each query's settled ranks, and votes, suffixed with ``name``."""
+    VIEWS[f"seeds_{name}"] = ((base, "chunks", "graph_nodes"), VIEWS["seeds"][1].replace("FROM base", f"FROM {base}"))
+    VIEWS[f"walk_{name}"] = (
+        (f"seeds_{name}", "shares"),
+        f"""SELECT query_id, node, p AS rank, 0 AS i FROM seeds_{name}
+ UNION ALL SELECT query_id, node, sum(m), max(i) + 1 FROM (SELECT w.query_id, s.dst AS node, 0.85::DOUBLE * w.rank * s.share AS m, w.i FROM walk_{name} w JOIN shares s ON s.src = w.node
+  UNION ALL SELECT query_id, node, 0.15::DOUBLE * p, (SELECT max(i) FROM walk_{name}) FROM seeds_{name}) WHERE i < 100 GROUP BY query_id, node""",
+    )
+    VIEWS[f"steps_{name}"] = ((f"walk_{name}",), f"SELECT * FROM walk_{name}")
+    VIEWS[f"gaps_{name}"] = (
+        (f"steps_{name}",),
+        f"""SELECT query_id, i, sum(abs(gap)) AS gap FROM (SELECT query_id, node, i, sum(r) AS gap FROM (SELECT query_id, node, i, rank AS r FROM steps_{name}
+ UNION ALL SELECT query_id, node, i + 1, -rank FROM steps_{name}) GROUP BY ALL) WHERE i BETWEEN 1 AND 100 GROUP BY ALL""",
+    )
+    VIEWS[f"settled_{name}"] = ((f"gaps_{name}",), f"SELECT query_id, coalesce(min(i) FILTER (gap < 1e-8), 100) AS i FROM gaps_{name} GROUP BY query_id")
+    VIEWS[f"ranks_{name}"] = ((f"steps_{name}", f"settled_{name}"), f"SELECT query_id, node, rank FROM steps_{name} JOIN settled_{name} USING (query_id, i)")
+    VIEWS[f"votes_{name}"] = _votes(f"ranks_{name}", base)
+
+
+_VOTES = (
     """SELECT query_id, ref, rank FROM (SELECT query_id, ref, row_number() OVER (PARTITION BY query_id ORDER BY doc_rank, nth) AS rank FROM (
  SELECT d.query_id, c.ref, d.doc_rank, row_number() OVER (PARTITION BY d.query_id, c.path ORDER BY b.base_rank ASC NULLS LAST, c.chunk_seq) AS nth FROM (
   SELECT * FROM (SELECT query_id, node AS path, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 12) DESC, node) AS doc_rank FROM ranks) WHERE doc_rank <= 50) d
- JOIN chunks c USING (path) LEFT JOIN base b ON b.query_id = d.query_id AND b.ref = c.ref) WHERE nth <= 3) WHERE rank <= 50""",
+ JOIN chunks c USING (path) LEFT JOIN base b ON b.query_id = d.query_id AND b.ref = c.ref) WHERE nth <= 3) WHERE rank <= 50"""
 )
+VIEWS["votes"] = _votes("ranks", "base")
+VIEWS["base_lexical"] = (("lexical",), "SELECT query_id, ref, 1.0::DOUBLE / (60 + rank) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(1.0::DOUBLE / (60 + rank), 12) DESC, ref) AS base_rank FROM lexical")
+_converged("full", "base")
+_converged("plain", "base_lexical")
 
 
 def fused(*parts: tuple[str, str]) -> str:
@@ -187,5 +237,5 @@ def sql(body: str, *names: str) -> str:
 
     for n in names:
         need(n)
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order)
+    ctes = ",\n".join(f"{n} AS {'' if n.startswith('walk_') else 'MATERIALIZED '}({VIEWS[n][1]})" for n in order)
     return f"WITH RECURSIVE {ctes}\n{body}" if order else body

@@ -1,8 +1,8 @@
 """The engine's tables derived from the benchmark tables, by arithmetic on ids.
 
 The benchmark has no Markdown, so every document gets a path, a title and dates from its id,
-and a text with generated links before its own lines. Documents are neither sampled nor cut;
-the search queries are cut to a few words of each passage (see ``queries``).
+and a text with generated links before its own lines. Nothing is sampled or cut: documents are
+whole, and so are the passages that are searched for.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosslight.functions.text import tokens
+from mosslight.functions.lets import let
 from mosslight.plans.index import with_refs
 
 AS_OF = "2026-01-01"
 KNOWLEDGE = "src3"
-QUERY_WORDS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +30,12 @@ def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     path = (
-        F.when(n % 10 == 3, F.concat("source", F.lit("/decisions/"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit("-rec.md")))
+        F.when(n % 10 == 3, F.concat("source", F.lit("/decisions/"), F.lpad((n % 10000).cast("string"), 4, "0"), F.lit("-rec-"), _eight(n), F.lit(".md")))
         .when(n % 10 == 7, F.concat("source", F.lit("/tasks/"), _eight(n), F.lit(".md")))
         .otherwise(F.concat("source", F.lit("/docs/"), _eight(n), F.lit(".md")))
     )
+    # chains of one and of four steps, cycles of three with a way in from outside, and names of nothing
+    replacement = F.when(n % 45 == 0, F.concat(F.lit("gone-"), n.cast("string"))).when((n % 20).isin(4, 5, 14, 15, 16, 17), _eight(n + 1)).when((n % 20).isin(6, 8), _eight(n - 2)).when(n % 15 == 0, _eight(n + 1))
     return d.select(
         "doc_id",
         F.col("source").alias("repo"),
@@ -42,7 +43,7 @@ def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 50 == 49, "Shared Title").otherwise(F.concat(F.lit("Doc "), n.cast("string"))).alias("title"),
         (F.lit(1704067200) + n * 3600).cast("double").alias("mtime"),
         F.when(n % 3 == 0, F.date_add(F.lit("2024-01-01").cast("date"), (n % 400).cast("int")).cast("string")).alias("decided_on"),
-        F.when(n % 45 == 0, F.concat(F.lit("gone-"), n.cast("string"))).when(n % 15 == 0, _eight(n + 1)).alias("superseded_by"),
+        replacement.alias("superseded_by"),
         "text",
     )
 
@@ -101,13 +102,8 @@ def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, query``: the longest distinct words of every benchmark passage, as a searcher would pick them.
-
-    A cut of the passage to ``QUERY_WORDS`` words, as in the SQL.
-    """
-    b = table(spark, sf_dir, "benchmark")
-    ranked = F.array_sort(F.transform(F.array_distinct(tokens(F.col("text"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.transform(F.slice(ranked, 1, QUERY_WORDS), lambda x: x["w"]), " ").alias("query"))
+    """``query_id, query``: every benchmark passage, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vectors(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
@@ -123,11 +119,18 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``query_id, relevant``: documents that share a line with the passage; passages without any are left out.
+    """``query_id, relevant``: documents that hold the passage, wherever in their text; passages that none holds are left out.
 
-    An equality join on lines; no passage is compared with every text. It is narrower than
-    containment: documents that hold a passage within a longer line are left out, as in the SQL.
+    Words inside a passage stand between white space in every text that holds it. So three of them
+    find the candidates, by an equality join with all word triples of the documents, and only
+    these are compared whole. Passages of fewer than five words are compared with every text.
     """
-    lines = corpus_docs(spark, sf_dir).select("path", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
-    wanted = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", "\n")).alias("line"))
-    return wanted.join(lines, "line").groupBy("query_id").agg(F.array_sort(F.collect_set("path")).alias("relevant"))
+    docs = corpus_docs(spark, sf_dir).select("path", "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.split(F.trim("text"), r"\s+").alias("w"))
+    triple = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    keyed = asked.where(F.size("w") >= 5).select("query_id", "passage", triple(F.col("w"), F.lit(1)).alias("key"))
+    triples = let(F.split("text", r"\s+"), lambda w: F.when(F.size(w) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: triple(w, i)))))
+    found = docs.select("path", "text", F.explode(triples).alias("key")).join(keyed, "key").where(F.contains("text", "passage")).select("query_id", "path")
+    few = asked.where(F.size("w") < 5).select("query_id", "passage")
+    short = docs.join(few, F.contains("text", "passage")).select("query_id", "path")
+    return found.unionByName(short).groupBy("query_id").agg(F.array_sort(F.collect_set("path")).alias("relevant"))
