@@ -4,9 +4,11 @@ Every document gets rule statistics from its whole text. Rule failures are aggre
 host, the host rates are shrunk with an empirical beta prior, and the verdict on the host
 is joined back: on a suspect host the stricter limits apply.
 
-Edge cases: a null or blank text has no words and fails the base rules; a null host is a
-host of its own; repeated rows count once each; an empty table gives an empty result;
-further columns are ignored by ``rule_statistics`` and kept by ``filter_documents``.
+Edge cases: a null or blank text has no words and fails the base rules; a very long text is
+judged whole, its windows as one array of hashes in its row; a rate that ties with the limit is
+suspect; a null host is a host of its own; repeated rows count once each; an empty table gives an
+empty result; further columns, whatever their names, are ignored by ``rule_statistics`` and kept
+by ``filter_documents``.
 """
 
 from __future__ import annotations
