@@ -16,7 +16,7 @@ from mosslight.plans.index import lexical_upkeep
 from mosslight.plans.oracle_views import ITERATIONS, fused, sql
 from mosslight.plans.search import Corpus, search, with_context
 from mosslight.sources.discovery import in_scope
-from mosslight.staging import generation, stage
+from mosslight.staging import generation, modified, stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -398,9 +398,10 @@ _CORPORA: dict = {}
 
 
 def corpus(spark: SparkSession, d: str) -> Corpus:
-    """The engine's tables of ``d``, built once a session and kept as work tables until these are cleared."""
-    key = (spark.sparkContext.applicationId, d, generation())
-    if key not in _CORPORA:
+    """The engine's tables of ``d``, built once a session and kept as work tables until these are cleared or ``d`` changes."""
+    stamps = tuple(modified(spark, f"{d}/{name}.parquet") for name in ("documents", "embeddings"))
+    key = (spark.sparkContext.applicationId, d, generation(), stamps)
+    if key not in _CORPORA or any(modified(spark, t.inputFiles()[0]) is None for t in (_CORPORA[key].chunks, _CORPORA[key].edges)):
         _CORPORA.clear()
         index, chunks = _index(spark, d)
         edges = stage(views.doc_links(spark, d), "edges")

@@ -90,6 +90,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modified(spark: SparkSession, path: str) -> int | None:
+    """When a file or folder was last modified; None if it is gone."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(target).getModificationTime() if system.exists(target) else None
+
+
 def placed(df: DataFrame) -> DataFrame:
     """``row`` (a struct of all columns), ``place_file, place_row``: two longs that mean the same row whenever this is read.
 

@@ -9,6 +9,7 @@ QUICK = [
     "empty_guard", "reclassify_count", "meta_upsert", "chunk_refs", "sections_breadcrumb", "snippets", "links_wikilink", "links_markdown", "links_bare_path", "links_citation",
     "extract_links", "resolution_keys", "relative_paths", "resolve_links", "link_outcomes", "dangling_supersedence", "tokenize", "doc_freq", "corpus_stats", "bm25_topk",
     "knn_l2_topk", "knn_cosine_topk", "missing_vectors", "orphan_vectors", "stub_embed", "adjacency_normalized", "assembled_context", "recency_factor", "search_lexical_vector",
+    "sections_merged", "embedding_texts", "lenient_decoding", "clean_scalars", "index_upkeep", "supersedence_chain", "supersedence_states", "hit_payloads", "search_responses", "search_full", "search_with_context", "eval_recall_mrr",
     "get_chunk", "hit_payload_json", "judgement_validation", "allocate_number",
 ]
 
