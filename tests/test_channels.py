@@ -68,6 +68,29 @@ def test_topk_order_and_pool(spark):
     assert [r.ref for r in top.orderBy("rank").collect()] == ["c00", "c02", "c04", "c06"]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_and_rankings_arise_without_a_shuffle_of_postings_or_scores(spark, tmp_path):
+    rows = corpus(300, 7)
+    rows += [(f"d{i:03d}", f"q/{i % 7}.md", i, "Copy", "happy sky happy ponies") for i in range(130)]  # ties beyond the cut
+    spark.createDataFrame(rows, CHUNK).repartition(5).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    asked = ["happy ponies happy", "the relational", "été naïve x9", "nothing here", "the", ""]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    for stemmed in (False, True):
+        index = lexical.build(chunks, stemmed)
+        bare = lexical.LexicalIndex(index.postings, index.lengths, index.frequencies, index.stats, stemmed)
+        assert "Exchange" not in plan(index.postings) and "Exchange" not in plan(lexical.bm25(index, queries))
+        scored = {(r.query_id, r.ref): r.score for r in lexical.bm25(index, queries).collect()}
+        assert scored == pytest.approx({(r.query_id, r.ref): r.score for r in lexical.bm25(bare, queries).collect()}, abs=1e-12)
+        want = {(r.query_id, r.ref, r.rank) for r in lexical.ranked(lexical.bm25(index, queries), chunks, 20).collect()}
+        for of in (index, bare):
+            for group in (2, 100):
+                assert {(r.query_id, r.ref, r.rank) for r in lexical.bm25_topk(of, queries, chunks, 20, group=group).collect()} == want
+
+
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_knn_is_exact(spark, metric):
     rng = np.random.default_rng(0)
