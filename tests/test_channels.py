@@ -2,6 +2,7 @@ import json
 import random
 import sqlite3
 import threading
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from mosslight import schema as S
 from mosslight.functions.embedding import CharacterEmbedder, EmbeddingError, HttpEmbedder, checked, embed
 from mosslight.functions.porter import stem
+from mosslight.functions.text import folded_tokens, tokens
 from mosslight.operators import evaluate, fusion, graph, lexical, links, records, vectors
 from mosslight.plans.search import check_channels
 
@@ -229,6 +231,32 @@ def test_pagerank_of_tables(spark):
     assert all(fixed.get((1, n), 0) == pytest.approx(v, abs=1e-12) for n, v in plain_pagerank(adj, seeds[1], tolerance=0, iterations=12).items())
 
 
+def test_walk_by_blocks_and_fixed_iterations_in_both_forms(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(graph, "EDGE_BLOCK", 3)
+    for m in (0, 1, 2, 40):
+        adj = {f"n{i}": {} for i in range(12)}
+        for _ in range(m):
+            adj[f"n{rng.randrange(9)}"][f"n{rng.choice([0, rng.randrange(12)])}"] = rng.choice([0.5, 1.0])
+        got = graph.power_iteration(adj, ["n0", "n3"])
+        assert got == pytest.approx(plain_pagerank(adj, ["n0", "n3"]), abs=1e-12)
+    table = graph.adjacency(spark.createDataFrame([(f"n{rng.randrange(40)}", f"n{40 + i % 9}", S.LINKS_TO) for i in range(60)], S.DOC_LINKS))
+    seeds = spark.createDataFrame([(1, "n40"), (1, "n41"), (2, "n44"), (3, "absent")], "query_id int, path string")
+    local, tables = ({(r.query_id, r.node): r.rank for r in graph.pagerank_fixed(table, seeds, 3, local_bytes=size).collect()} for size in (graph.LOCAL_BYTES, 0))
+    assert local == pytest.approx(tables, abs=1e-15) and {q for q, _ in local} == {1, 2}
+
+
+def test_latin_texts_have_the_same_tokens_on_both_ways(spark):
+    every = " ".join(f"a{chr(c)}b {chr(c)}" for c in range(1, 0x250))
+    texts = [every, every[:600], "ASCII only_x 9", "Straße İstanbul", "Ωmega ٣ \u4e2d\ue000 x\u0301y", "", "ŁÓDŹ ª º ² ¼"]
+    chunks = spark.createDataFrame([(f"c{i}", "p", i, "h", t) for i, t in enumerate(texts)], CHUNK)
+    for stemmed, split in ((False, tokens), (True, folded_tokens)):
+        want = {r.ref: r.words for r in chunks.select("ref", split(F.concat_ws(" ", "body", "heading_path")).alias("words")).collect()}
+        for r in lexical.build(chunks, stemmed).bags.collect():
+            counted = Counter(stem(w) if stemmed else w for w in want[r.ref])
+            assert dict(zip(r.terms, r.tfs, strict=True)) == counted and r.dl == len(want[r.ref])
+
+
 def test_votes_prefer_candidates_then_document_order(spark):
     chunks = spark.createDataFrame([(f"{d}{i}", d, i, "h", "b") for d in "xyz" for i in range(5)], CHUNK)
     ranks = spark.createDataFrame([(0, "y", 0.5), (0, "x", 0.3), (0, "z", 0.3)], "query_id int, node string, rank double")
