@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosslight import schema as S
 from mosslight.functions import embedding, markdown, text
 from mosslight.operators import evaluate, fusion, graph, incremental, lexical, links, records, response, vectors
 from mosslight.plans import views
@@ -433,6 +434,12 @@ class _Tables:
     def edges(self) -> DataFrame:
         return stage(views.doc_links(*self._of), "edges")
 
+    @cached_property
+    def supersedences(self) -> DataFrame:
+        if "edges" in vars(self):
+            return self.edges.where(F.col("relation") == S.SUPERSEDED_BY)
+        return stage(views.supersedences(*self._of), "supersedences")
+
     @cached_property
     def documents(self) -> DataFrame:
         return stage(views.documents(*self._of), "documents")
@@ -471,7 +478,7 @@ def ppr_chunk_votes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT path, other, relation, CAST(hop AS BIGINT) AS hop, pos FROM chain", "chain"))
 def supersedence_chain(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.supersedence_chain(views.doc_links(spark, d), views.corpus_docs(spark, d))
+    found = graph.supersedence_chain(views.supersedences(spark, d), views.corpus_docs(spark, d))
     return found.select("path", "other", "relation", F.col("hop").cast("long").alias("hop"), F.col("pos").cast("long").alias("pos"))
 
 
@@ -562,7 +569,7 @@ def search_full_fixed_iter(spark: SparkSession, d: str) -> DataFrame:
     ranks = graph.pagerank_fixed(graph.adjacency(c.edges), graph.seed_documents(base, c.chunks), ITERATIONS)
     weight = vectors.coverage(c.chunks, c.vectors).first()["coverage"]
     all_three = fusion.rrf({"lexical": (lists["lexical"], 1.0), "vector": (lists["vector"], weight), "graph": (graph.votes(ranks, base, c.chunks), 0.5)})
-    page = fusion.page(fusion.boosted(all_three, c.chunks, c.documents, c.edges, F.lit(views.AS_OF).cast("date")))
+    page = fusion.page(fusion.boosted(all_three, c.chunks, c.documents, c.supersedences, F.lit(views.AS_OF).cast("date")))
     return _hits(response.hits(page, c.chunks, c.documents))
 
 
@@ -612,7 +619,7 @@ def supersedence_states(spark: SparkSession, d: str) -> DataFrame:
     """Current, superseded, or superseded by something that isn't there: of every document, as its hits say it."""
     c = corpus(spark, d)
     first = c.chunks.groupBy("path").agg(F.min_by("ref", "chunk_seq").alias("ref"))
-    found = response.get_chunks(first.select("ref"), c.chunks, c.documents, c.edges)
+    found = response.get_chunks(first.select("ref"), c.chunks, c.documents, c.supersedences)
     return found.select("path", "is_superseded", "supersedence_unresolved")
 
 
@@ -633,7 +640,7 @@ def hit_payloads(spark: SparkSession, d: str) -> DataFrame:
 def get_chunk(spark: SparkSession, d: str) -> DataFrame:
     """Lookups by reference, of all references there are."""
     chunks = stage(views.chunks(spark, d), "chunks")
-    found = response.get_chunks(chunks.select("ref"), chunks, views.documents(spark, d), views.doc_links(spark, d))
+    found = response.get_chunks(chunks.select("ref"), chunks, views.documents(spark, d), views.supersedences(spark, d))
     return found.select("ref", "citation", "repo", "body", "is_superseded")
 
 
