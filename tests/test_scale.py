@@ -15,8 +15,12 @@ from tests.test_channels import CHUNK, corpus
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="the benchmark tables aren't here")
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @needs_data
-@pytest.mark.parametrize("name", ["search_lexical", "search_vector", "search_mode", "supersedence_states", "supersedence_chain", "get_chunk"])
+@pytest.mark.parametrize("name", ["search_lexical", "search_vector", "search_mode", "boosted_scores", "supersedence_states", "supersedence_chain", "get_chunk"])
 def test_supersedence_needs_no_links_of_the_texts(spark, monkeypatch, name):
     clear(spark)
     monkeypatch.setattr(links, "body_links", lambda text: F.array(F.when(F.length(text) >= 0, F.raise_error(F.lit("links of a text"))).cast("string")))
@@ -36,3 +40,19 @@ def test_responses_dont_wait_for_the_page(spark, monkeypatch):
     monkeypatch.setattr(fusion, "page", lambda *a: pytest.fail("a page that nobody asked for"))
     found = search(Corpus(None, chunks, lexical.build(chunks), None), queries, ("lexical",))
     assert sorted((r.query_id, r.mode) for r in found.responses.collect()) == [(0, "lexical"), (1, "none")]
+
+
+def test_boosts_join_bags_and_not_scores(spark):
+    chunks = spark.createDataFrame(corpus(), CHUNK)
+    queries = spark.createDataFrame([(0, "happy sky"), (1, "ponies"), (2, "zzz")], "query_id int, query string")
+    index = lexical.build(chunks)
+    of_path = chunks.select("path", (F.crc32("path") % 7).cast("double").alias("factor")).distinct()
+    for group in (2, 100):
+        got = lexical.bm25_of_chunks(index, queries, group, of_path)
+        assert got.columns == ["ref", "factor", "hits"]
+        top = plan(got).split("MapInArrow")[0]
+        assert "Exchange" not in top and "Join" not in top
+        scored = {(r.query_id, r.ref): r.score for r in got.select("ref", F.explode("hits").alias("x")).select("ref", "x.*").collect()}
+        assert scored == {(r.query_id, r.ref): r.score for r in lexical.bm25(index, queries).collect()}
+        factors = dict(chunks.join(of_path, "path").select("ref", "factor").collect())
+        assert all(r.factor == factors[r.ref] for r in got.collect())
