@@ -19,6 +19,8 @@ from mosslight.staging import stage
 #: Bytes of arrays up to which a task may hold the whole graph; beyond it ranks are joined and aggregated.
 LOCAL_BYTES = 1 << 30
 EDGE_BYTES, NODE_BYTES = 16, 80
+#: Rows up to which a table of paths may be sent to all tasks, by way of the driver. Work tables are compressed, so the planner takes large ones for small.
+SENT_ROWS = 1 << 14
 #: Edges whose shares are moved at once, so that they stay in the cache.
 EDGE_BLOCK = 1 << 15
 
@@ -245,17 +247,25 @@ def supersedence_chain(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
     A frontier that walks the edges hop by hop; a document that was seen from the same start
     isn't visited again, so cycles end. What was seen is written out every ten hops, so plans
-    stay short. Forward hops come first.
+    stay short. Forward hops come first. Where both sides have many rows, they are dealt out by key, so that
+    no hop sends a table of the corpus's size through the driver.
     """
     links = stage(edges.where(F.col("relation") == S.SUPERSEDED_BY).select("src_path", "dst_path").distinct(), "supersedences")
-    seen = stage(starts.select("path").distinct().select("path", F.col("path").alias("other"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("hop")), "seen")
+    dealt = lambda rows, *n: rows.hint("merge") if min(n) > SENT_ROWS else rows
+    n_links, tied = links.count(), links.select(F.explode(F.array("src_path", "dst_path")).alias("path")).distinct()
+    paths = starts.select("path").distinct().join(dealt(tied, n_links), "path", "left_semi")  # others have no chain
+    seen = stage(paths.select("path", F.col("path").alias("other"), F.lit(None).cast("string").alias("relation"), F.lit(0).alias("hop")), "seen")
+    n_seen = seen.count()
     for src, dst, relation in (("src_path", "dst_path", S.SUPERSEDED_BY), ("dst_path", "src_path", S.SUPERSEDES)):
         front = seen.where("hop = 0").select("path", F.col("other").alias("at"))
+        n_front = front.count()
         for hop in count(1):
-            step = front.join(links, F.col("at") == F.col(src)).select("path", F.col(dst).alias("other")).distinct()
-            fresh = stage(step.join(seen.select("path", "other"), ["path", "other"], "left_anti").withColumns({"relation": F.lit(relation), "hop": F.lit(hop)}), "hop")
-            if fresh.isEmpty():
+            step = front.join(dealt(links, n_links, n_front), F.col("at") == F.col(src)).select("path", F.col(dst).alias("other")).distinct()
+            fresh = stage(step.join(dealt(seen.select("path", "other"), n_seen), ["path", "other"], "left_anti").withColumns({"relation": F.lit(relation), "hop": F.lit(hop)}), "hop")
+            n_front = fresh.count()
+            if not n_front:
                 break
+            n_seen += n_front
             seen = seen.unionByName(fresh) if hop % 10 else stage(seen.unionByName(fresh), "seen")
             front = fresh.select("path", F.col("other").alias("at"))
     forward = F.when(F.col("relation") == S.SUPERSEDED_BY, 0).otherwise(1)
@@ -278,11 +288,11 @@ def context(edges: DataFrame, starts: DataFrame, documents: DataFrame, cap: int
     The cap counts before titles are looked up.
     """
     chain = supersedence_chain(edges, starts).select("path", "other", "relation", F.lit(0).alias("tier"), "pos")
-    near = neighbours(edges, starts).join(chain.select("path", "other"), ["path", "other"], "left_anti")
+    near = neighbours(edges, starts).join(chain.select("path", "other").hint("merge"), ["path", "other"], "left_anti")
     near = near.select("path", "other", "relation", F.when(F.col("relation") == S.LINKS_TO, 1).otherwise(2).alias("tier"), F.lit(0).alias("pos"))
     by = Window.partitionBy("path").orderBy("tier", "pos", "other")
     capped = chain.unionByName(near).withColumn("pos", F.row_number().over(by)).where(F.col("pos") <= cap)
-    info = documents.select(F.col("path").alias("other"), "title", "repo")
+    info = documents.select(F.col("path").alias("other"), "title", "repo").hint("merge")
     return capped.join(info, "other").select("path", "pos", "other", "title", "repo", "relation")
 
 

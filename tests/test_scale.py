@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mosslight import catalogue
 from mosslight import schema as S
-from mosslight.operators import fusion, lexical, links
+from mosslight.operators import fusion, graph, lexical, links
 from mosslight.plans import views
 from mosslight.plans.search import Corpus, search
 from mosslight.staging import clear
@@ -56,3 +56,19 @@ def test_boosts_join_bags_and_not_scores(spark):
         assert scored == {(r.query_id, r.ref): r.score for r in lexical.bm25(index, queries).collect()}
         factors = dict(chunks.join(of_path, "path").select("ref", "factor").collect())
         assert all(r.factor == factors[r.ref] for r in got.collect())
+
+
+def test_chains_of_many_rows_arent_sent_through_the_driver(spark, monkeypatch):
+    n, staged = 60, []
+    edges = spark.createDataFrame([(f"p{i:02}", f"p{i + 1:02}", S.SUPERSEDED_BY) for i in range(n) if i % 4 != 3] + [("p03", "p00", S.SUPERSEDED_BY), ("p07", "p09", S.LINKS_TO)], S.DOC_LINKS)
+    docs = spark.createDataFrame([(f"p{i:02}", f"t{i}", "r") for i in range(n + 5)], "path string, title string, repo string")
+    want = sorted(map(tuple, graph.context(edges, docs, docs).collect()))
+    monkeypatch.setattr(graph, "SENT_ROWS", 0)
+    keep = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, label: staged.append((label, plan(df))) or keep(df, label))
+    assert sorted(map(tuple, graph.context(edges, docs, docs).collect())) == want
+    hops = [p for label, p in staged if label in ("hop", "seen")]
+    assert len(hops) >= 8 and not any("Broadcast" in p for p in hops)
+    starts = [r.path for r in docs.collect()]
+    got = {(r.path, r.other): (r.relation, r.hop) for r in graph.supersedence_chain(edges, docs).collect()}
+    assert {p for p, _ in got} <= set(starts) and got["p00", "p03"] == (S.SUPERSEDED_BY, 3) and got["p05", "p04"] == (S.SUPERSEDES, 1)
