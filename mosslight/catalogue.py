@@ -286,7 +286,7 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql("SELECT * FROM frequencies", "frequencies"))
 def doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.build(views.chunks(spark, d)).frequencies
+    return lexical.frequencies(views.lines(spark, d))
 
 
 @query(sql("SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats", "stats"))

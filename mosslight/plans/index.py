@@ -146,7 +146,12 @@ def number_chunks(parsed: DataFrame) -> DataFrame:
 
 def with_refs(rows: DataFrame) -> DataFrame:
     ordinal = F.row_number().over(Window.partitionBy("path", "heading_path").orderBy("chunk_seq")) - 1
-    return rows.withColumn("ref", chunk_ref(F.col("path"), F.col("heading_path"), ordinal)).select("ref", "path", F.col("chunk_seq").cast("int").alias("chunk_seq"), "heading_path", "body")
+    return numbered(rows.withColumn("nth", ordinal))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Chunks with references; ``nth`` counts those of the same path and heading before a row."""
+    return rows.withColumn("ref", chunk_ref(F.col("path"), F.col("heading_path"), F.col("nth"))).select("ref", "path", F.col("chunk_seq").cast("int").alias("chunk_seq"), "heading_path", "body")
 
 
 def _current_vectors(old: Corpus, chunks: DataFrame, changes: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from mosslight import catalogue
 from mosslight import schema as S
 from mosslight.operators import fusion, graph, lexical, links
 from mosslight.plans import views
+from mosslight.plans.index import with_refs
 from mosslight.plans.search import Corpus, search
 from mosslight.staging import clear
 from tests.compare import DATA, check
@@ -72,3 +73,25 @@ def test_chains_of_many_rows_arent_sent_through_the_driver(spark, monkeypatch):
     starts = [r.path for r in docs.collect()]
     got = {(r.path, r.other): (r.relation, r.hop) for r in graph.supersedence_chain(edges, docs).collect()}
     assert {p for p, _ in got} <= set(starts) and got["p00", "p03"] == (S.SUPERSEDED_BY, 3) and got["p05", "p04"] == (S.SUPERSEDES, 1)
+
+
+@needs_data
+def test_chunks_and_frequencies_shuffle_no_texts(spark):
+    assert "Exchange" not in plan(views.chunks(spark, str(DATA)))
+    counted = plan(catalogue.QUERIES["doc_freq"](spark, str(DATA)))
+    assert "Window" not in counted and counted.count("Exchange") == 1 and "partial_sum" in counted.split("Exchange")[1]
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_chunks_are_numbered_as_across_rows(spark, tmp_path, repeated):
+    texts = ["a\n\n b\n\nc\n\t\nd\ne\nf\n\n", "", None, "  \nx y", "one", "z\n" * 9]
+    rows = [(i, t, "en", f"src{i % 2}", 1) for i, t in enumerate(texts)] + [(None, "q\nr", "en", "src1", 1), (9, "q\nr", "en", None, 1)]
+    spark.createDataFrame(rows + rows[:1] * repeated, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    made = views.chunks(spark, d)
+    assert sorted(made.collect(), key=repr) == sorted(with_refs(views.lines(spark, d)).select(made.columns).collect(), key=repr)
+    refs = [r.ref for r in made.where("path is not null").collect()]
+    assert len(refs) == len(set(refs)) == 18 + 7 * repeated
+    built = lexical.build(made)
+    assert sorted(lexical.frequencies(views.lines(spark, d)).collect()) == sorted(built.frequencies.collect())
+    assert sorted(lexical.frequencies(made, True).collect()) == sorted(lexical.build(made, True).frequencies.collect())
