@@ -20,7 +20,8 @@ MARKDOWN_LINK = r"\[[^\[\]]*\]\(([^)\s]+?\.md)(?:#[^)\s]*)?\)"
 #: No group here repeats but possessively: the JVM matches other repeated groups by recursion, a frame each.
 PATH_RUN = r"(?<![\w./\p{L}\p{N}-])([A-Za-z0-9._-][A-Za-z0-9._/-]*[\p{L}\p{N}]?)"
 BARE_PATH = r"^([A-Za-z0-9._-][A-Za-z0-9._/-]*/[A-Za-z0-9._-]+\.md)(?![\w\p{L}\p{N}])"
-CITATION = r"(?iU)\b(?:ADRs?|decisions?)\b\s*:?\s*(\d{4}\b(?:\s*(?:\([^()]*\))?\s*(?:,\s*and|,|and|/|&)\s*\d{4}\b)*+)"
+#: The first letter is looked for before the word's edge, which is dear to find.
+CITATION = r"(?iU)(?=[AD])\b(?:ADRs?|decisions?)\b\s*:?\s*(\d{4}\b(?:\s*(?:\([^()]*\))?\s*(?:,\s*and|,|and|/|&)\s*\d{4}\b)*+)"
 URL_LIKE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//)"
 NULL_WORDS = ("", "null", "none", "~")
 TOKEN = r"([\p{L}\p{N}\p{Co}]+)"
@@ -118,7 +119,8 @@ _ACCENTED, _PLAIN = fold_table()
 
 def strip_code(text: Column) -> Column:
     """Fenced blocks emptied and inline code spans blanked."""
-    return F.regexp_replace(F.regexp_replace(text, FENCED, ""), INLINE_CODE, " ")
+    lines = F.split(F.regexp_replace(text, FENCED, ""), "\n")  # a span stays within its line
+    return F.array_join(F.transform(lines, lambda x: F.when(F.contains(x, F.lit("`")), F.regexp_replace(x, INLINE_CODE, " ")).otherwise(x)), "\n")
 
 
 def wikilinks(text: Column) -> Column:
@@ -131,7 +133,8 @@ def markdown_links(text: Column) -> Column:
 
 def bare_paths(text: Column) -> Column:
     """Of each run of path characters, the longest beginning that is a path of a Markdown file in a folder, without empty steps."""
-    runs = F.filter(F.regexp_extract_all(text, F.lit(PATH_RUN), F.lit(1)), lambda r: F.contains(r, F.lit(".md")))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(".md")))  # no run goes beyond its line
+    runs = F.filter(F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(PATH_RUN), F.lit(1)), lambda r: F.contains(r, F.lit(".md")))
     return F.filter(F.transform(runs, lambda r: F.regexp_extract(F.substring_index(r, "//", 1), BARE_PATH, 1)), lambda x: x != "")
 
 

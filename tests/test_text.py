@@ -154,3 +154,25 @@ def test_recency_and_snippet(spark):
 def test_lenient_decoding(spark):
     df = spark.createDataFrame([(bytearray(b"a\xffb\xc3"),)], "c binary")
     assert df.select(text.decode_lenient(F.col("c"))).first()[0] == b"a\xffb\xc3".decode(errors="replace")
+
+
+def test_link_patterns_read_only_lines_that_can_hold_them(spark, monkeypatch):
+    whole = r"(?s)^(.*)$"
+    for name in ("PATH_RUN", "BARE_PATH", "INLINE_CODE"):
+        monkeypatch.setattr(text, name, whole)
+    assert one(spark, text.bare_paths(F.col("t")), t="long prose\nsee a/b.md now\nmore") == ["see a/b.md now"]
+    assert one(spark, text.strip_code(F.col("t")), t="long prose\nsome `code`\nmore\n") == "long prose\n \nmore\n"
+
+
+def test_link_patterns_line_by_line_find_what_they_find_in_the_whole(spark):
+    parts = ["a/b.md", ".md", "`x/y.md`", "``", "`", "\n", "\r\n", " ", " ", "decision 0006", "xADR\n0007", "ADRs:\n0001 (why),\n0002", "é/c.md", "x.mdé", "//h/d.md", "word", "~~~\n", "```\n", "İDR 0009", "DECIſION 0010"]
+    rows = [("".join(parts[(i * k + i // 7 + k) % len(parts)] for k in range(1, 14)),) for i in range(400)] + [(None,), ("",), ("\n",), ("a/b.md",), ("\na/b.md\n",)]
+    df, old = spark.createDataFrame(rows, "t string"), text.CITATION.replace("(?=[AD])", "")
+    stripped = F.regexp_replace(F.regexp_replace("t", text.FENCED, ""), text.INLINE_CODE, " ")
+    runs = F.filter(F.regexp_extract_all("t", F.lit(text.PATH_RUN), F.lit(1)), lambda r: F.contains(r, F.lit(".md")))
+    paths = F.filter(F.transform(runs, lambda r: F.regexp_extract(F.substring_index(r, "//", 1), text.BARE_PATH, 1)), lambda x: x != "")
+    cited = F.flatten(F.transform(F.regexp_extract_all("t", F.lit(old), F.lit(1)), lambda r: F.regexp_extract_all(r, F.lit(r"(\d{4})"), F.lit(1))))
+    t = F.col("t")
+    got = df.select(stripped.alias("a"), text.strip_code(t).alias("b"), paths.alias("c"), text.bare_paths(t).alias("d"), cited.alias("e"), text.citations(t).alias("f")).collect()
+    assert all(r.a == r.b and r.c == r.d and r.e == r.f for r in got)
+    assert sum(bool(r.d) for r in got) > 50 and sum(bool(r.f) for r in got) > 50 and sum(r.b != x[0] for r, x in zip(got, rows, strict=True)) > 50
